@@ -5,14 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import quality_classifier, quality_rules
-from namewright.llm.common import table
+from namewright.llm import hidden_markov, media, packing, quality_classifier, quality_rules, warc
+from namewright.llm.common import new_path, table
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    out = warc.read_archive(spark, path)
+    return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return hidden_markov.score(table(spark, sf_dir, "documents"), held)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.analyse(media.encode(table(spark, sf_dir, "documents"))).drop("fingerprint")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_classifier.score(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -20,7 +47,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op3_hidden_markov": op3_hidden_markov,
     "op5_quality_rules": op5_quality_rules,
+    "op6_media": op6_media,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import hidden_markov, media, packing, quality_classifier, quality_rules, warc
+from namewright.llm import hidden_markov, media, near_dedup, packing, quality_classifier, quality_rules, warc
 from namewright.llm.common import new_path, table
 
 
@@ -32,6 +32,10 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score(table(spark, sf_dir, "documents"), held)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_hidden_markov": op3_hidden_markov,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_media": op6_media,
     "op10_quality_classifier": op10_quality_classifier,

@@ -1,6 +1,6 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
-Each document's histogram of character classes and of its language's commonest function words is
+Each document's histogram of character classes and of its language's commonest function words (as written in lower case or with a capital) is
 compared with that language's histogram over the whole corpus by the Jensen-Shannon distance.
 Counting rules (length, repeated windows of eight words) stand before it.
 
@@ -24,23 +24,19 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "un", "por"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est"],
 }
-#: Character classes, as regular expressions of what does NOT belong to them.
+#: Character classes, as regular expressions. They are disjoint and taken out of the text one after the other, the commonest first.
 CHAR_CLASSES = {
-    "lower": r"[^a-z]+",
-    "upper": r"[^A-Z]+",
-    "letter": r"[\x00-\x7F]+",
-    "digit": r"[^0-9]+",
-    "stop": r"[^.,;:!?'\"()-]+",
-    "space": r"[^\x20\x09-\x0D]+",
+    "lower": r"[a-z]+",
+    "space": r"[\x20\x09-\x0D]+",
+    "letter": r"[^\x00-\x7F]+",
+    "upper": r"[A-Z]+",
+    "stop": r"[.,;:!?'\"()-]+",
+    "digit": r"[0-9]+",
+    "symbol": r"[#*$%&|<>]+",
 }
-SYMBOLS_NOT = r"[^#*$%&|<>]+"
 WINDOW = 8
 
 
-def _n(c: Column, outside: str) -> Column:
-    return F.length(F.regexp_replace(c, outside, "")).cast("long")
-
-
 def _covered(window: int) -> Column:
     """Words in windows that occur twice or more: starts of equal windows, each covering what the next does not."""
     at = "sort_array(transform(filter(srt, (x, k) -> coalesce(get(srt, k - 1).h = x.h, false) or coalesce(get(srt, k + 1).h = x.h, false)), x -> x.i))"
@@ -50,7 +46,7 @@ def _covered(window: int) -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int = WINDOW) -> DataFrame:
     """Counts and histograms of each document: one pass over the texts, no shuffle."""
     lists = F.create_map(*[x for k, v in sorted(COMMON_WORDS.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    every = sorted({w for v in COMMON_WORDS.values() for w in v})
+    every = sorted({x for v in COMMON_WORDS.values() for w in v for x in (w, w.capitalize())})
     text = F.coalesce(F.col("t"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("t"))
     d = d.select("doc_id", "lang", text.alias("t"), words(F.col("t")).alias("w"))
@@ -62,17 +58,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     d = d.withColumn("srt", F.when(F.size(F.array_distinct("win")) < F.size("win"), F.sort_array(F.expr("transform(win, (h, i) -> struct(h as h, i as i))"))).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)")))
     total, at = _covered(window)
     d = d.withColumn("pos", at)
-    classes = [_n(F.col("t"), r).alias(k) for k, r in CHAR_CLASSES.items()]
+    # each class is counted by what its removal leaves; later classes see only that
+    d = d.withColumn("n_chars", F.length("t").cast("long")).withColumn("left", F.col("n_chars"))
+    for k, r in CHAR_CLASSES.items():
+        d = d.withColumn("t", F.regexp_replace("t", r, "")).withColumn(k, F.col("left") - F.length("t")).withColumn("left", F.length("t").cast("long"))
     d = d.select(
         "doc_id", "lang", "n_words", total.alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _n(F.col("t"), SYMBOLS_NOT).alias("n_symbols"), F.length("t").cast("long").alias("n_chars"), *classes,
+        "n_chars", *CHAR_CLASSES, "left",
         F.when(F.element_at(lists, F.col("lang")).isNotNull(), F.element_at(lists, F.col("lang"))).otherwise(F.array().cast("array<string>")).alias("list"),
-        F.transform(F.filter("w", lambda x: F.lower(x).isin(every)), F.lower).alias("common"),
+        F.transform(F.filter("w", lambda x: x.isin(every)), F.lower).alias("common"),
     )
     d = d.withColumn("word_hist", F.expr("transform(list, c -> cast(size(filter(common, x -> x = c)) as bigint))"))
     return d.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.array("lower", "upper", "letter", "digit", "stop", "space", "n_symbols", F.greatest(F.lit(0), F.expr("n_chars - lower - upper - letter - digit - stop - space - n_symbols"))).alias("char_hist"),
+        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        F.array(*CHAR_CLASSES, "left").alias("char_hist"),
         F.expr("concat(word_hist, array(greatest(0L, n_words - aggregate(word_hist, 0L, (a, x) -> a + x))))").alias("word_hist"),
     )
 
@@ -88,8 +87,7 @@ def jensen_shannon(p: str, q: str) -> Column:
 
 def references(feats: DataFrame) -> DataFrame:
     """Histograms of each listed language over all documents that pass the counting rules; at most one row for each listed language."""
-    n_char, n_word = len(CHAR_CLASSES) + 2, {k: len(v) + 1 for k, v in COMMON_WORDS.items()}
-    widest = max(n_word.values())
+    n_char, widest = len(CHAR_CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
     # the median of the documents' shares: neither huge documents nor a part of junk moves it
     share = lambda a, i: F.try_divide(F.get(a, F.lit(i)).cast("double"), F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import hidden_markov, media, near_dedup, packing, quality_classifier, quality_rules, warc
+from namewright.llm import hidden_markov, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, warc
 from namewright.llm.common import new_path, table
 
 
@@ -44,6 +44,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.analyse(media.encode(table(spark, sf_dir, "documents"))).drop("fingerprint")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_classifier.score(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_media": op6_media,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}

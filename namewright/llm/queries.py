@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import hidden_markov, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, warc
+from namewright.llm import hidden_markov, media, near_dedup, packing, piece_dropout, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from namewright.llm.common import new_path, table
 
 
@@ -44,6 +44,17 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.analyse(media.encode(table(spark, sf_dir, "documents"))).drop("fingerprint")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    out = piece_dropout.decode(piece_dropout.encode(table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", "n_pieces", "n_skipped", F.crc32("ids").alias("ids_crc32"), "text_sha256", (F.sha2("text", 256) == F.col("text_sha256")).alias("lossless"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,6 +73,8 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_piece_dropout": op8_piece_dropout,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }

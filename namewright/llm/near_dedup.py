@@ -73,7 +73,7 @@ def signature(x: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
-    """(doc_id, n, digest, sig) of each row; digest and sig are null for texts without words."""
+    """(doc_id, text_hash, n, digest, sig) of each row; digest and sig are null for texts without words."""
 
     def run(batches):
         factors, memo = multipliers(n_hashes), {}
@@ -88,9 +88,9 @@ def sign(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
                     sig.append(signature(hashes(w, k, memo), factors).tobytes() if w else None)
                     if len(memo) > 300_000:
                         memo.clear()
-                yield pa.RecordBatch.from_arrays([s[0], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([s[0], s[2], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n", "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, sig binary")
 
 
 def least_matches(n_hashes: int, threshold: float, miss: float, batch: int) -> list[int]:
@@ -200,7 +200,7 @@ def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, class_id, component_id, kept."""
+    """One row for each row of docs: doc_id, n_shingles, class_id, component_id, kept, text_hash (xxhash64 of the text, to tell rows of one id apart)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(sign(docs, shingle, bands * rows), "dedup-signed")
     nodes = stored(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig")), "dedup-nodes")
@@ -208,7 +208,7 @@ def dedup(
     labels = nodes.select("digest", "least").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = labels.join(least, "root").select("digest", F.col("least").alias("class_id"), "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
+    out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
     empty = F.col("digest").isNull()
     out = out.withColumns({"class_id": F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")), "component_id": F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))})
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")

@@ -49,9 +49,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     every = sorted({x for v in COMMON_WORDS.values() for w in v for x in (w, w.capitalize())})
     text = F.coalesce(F.col("t"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    d = d.select("doc_id", "lang", text.alias("t"), words(F.col("t")).alias("w"))
+    d = d.select("doc_id", "lang", F.xxhash64("t").alias("text_hash"), text.alias("t"), words(F.col("t")).alias("w"))
     d = d.select(
-        "doc_id", "lang", "t", "w", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "lang", "text_hash", "t", "w", F.size("w").cast("long").alias("n_words"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD_RE)).alias("lines"),
         F.when(F.size("w") >= window, F.expr(f"transform(sequence(1, size(w) - {window - 1}), i -> xxhash64(slice(w, i, {window})))")).otherwise(F.array().cast("array<bigint>")).alias("win"),
     )
@@ -63,14 +63,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     for k, r in CHAR_CLASSES.items():
         d = d.withColumn("t", F.regexp_replace("t", r, "")).withColumn(k, F.col("left") - F.length("t")).withColumn("left", F.length("t").cast("long"))
     d = d.select(
-        "doc_id", "lang", "n_words", total.alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "doc_id", "lang", "text_hash", "n_words", total.alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_chars", *CHAR_CLASSES, "left",
         F.when(F.element_at(lists, F.col("lang")).isNotNull(), F.element_at(lists, F.col("lang"))).otherwise(F.array().cast("array<string>")).alias("list"),
         F.transform(F.filter("w", lambda x: x.isin(every)), F.lower).alias("common"),
     )
     d = d.withColumn("word_hist", F.expr("transform(list, c -> cast(size(filter(common, x -> x = c)) as bigint))"))
     return d.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "text_hash", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*CHAR_CLASSES, "left").alias("char_hist"),
         F.expr("concat(word_hist, array(greatest(0L, n_words - aggregate(word_hist, 0L, (a, x) -> a + x))))").alias("word_hist"),
     )
@@ -104,7 +104,7 @@ def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     min_words: int = 20, max_repeat_percent: int = 30, min_chars_for_js: int = 200, min_words_for_js: int = 60, max_char_js: float = 0.33, max_word_js: float = 0.33, max_sum_js: float = 0.46,
 ) -> DataFrame:
-    """Verdicts: doc_id, counts, char_js, word_js, base_failed, kept.
+    """Verdicts: doc_id, counts, base_failed, kept, char_js, word_js, text_hash (xxhash64 of the text, to tell rows of one id apart).
 
     The distance is judged only from min_chars_for_js characters (char classes) or min_words_for_js
     words (common words) on, and their sum where both are there: text that is somewhat off in both ways
@@ -120,4 +120,4 @@ def score(
         "word_js": F.when(F.col("n_words") >= min_words_for_js, jensen_shannon("word_hist", "word_ref")),
     })
     diverges = (F.coalesce("char_js", F.lit(0.0)) > max_char_js) | (F.coalesce("word_js", F.lit(0.0)) > max_word_js) | (F.coalesce(F.col("char_js") + F.col("word_js"), F.lit(0.0)) > max_sum_js)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~diverges).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_js", "word_js")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~diverges).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_js", "word_js", "text_hash")

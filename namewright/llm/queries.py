@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from namewright.llm import hidden_markov, media, near_dedup, packing, piece_dropout, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from namewright.llm.common import new_path, table
 
@@ -37,7 +38,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(table(spark, sf_dir, "documents"))
+    return quality_rules.score(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "p_document", "host_posterior", "path_posterior", "p_quality", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -77,5 +82,6 @@ QUERIES = {
     "op8_piece_dropout": op8_piece_dropout,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {}

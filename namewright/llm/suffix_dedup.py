@@ -170,8 +170,11 @@ def covered(at: list, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int | None = None, max_contexts: int = 8192) -> DataFrame:
-    """One row for each row of docs: all its columns, then n_bytes, spans (removed bytes, array of lo, hi), kept (the other bytes)."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int | None = None, max_contexts: int = 8192, as_text: bool = False) -> DataFrame:
+    """One row for each row of docs: all its columns, then n_bytes, spans (removed bytes, array of lo, hi), kept (the other bytes).
+
+    With as_text kept is a string, without the bytes of characters that a cut went through.
+    """
     gram = gram or max(1, window // 4)
     mine = ["_u1", "_u2", "_at", "n_bytes", "spans", "kept"]
     base = docs.drop(*[c for c in docs.columns if c in mine])
@@ -190,7 +193,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 n_bytes.append(len(data))
                 spans.append([{"lo": lo, "hi": hi} for lo, hi in gone])
                 kept.append(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-            yield _named({c: b[c] for c in columns} | {"n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), "kept": pa.array(kept, pa.binary())})
+            yield _named({c: b[c] for c in columns} | {"n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return keyed.join(at, ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary")
+    return keyed.join(at, ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")

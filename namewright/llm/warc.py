@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm.common import drop_path
-
 CRLF = "\r\n"
 MIN_REVISIT = 100
 URN = "urn:record:"
@@ -64,14 +62,10 @@ def with_header(described: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Dat
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> str:
     """Writes the archive below path: records (header bytes) and payloads (bytes once for each digest)."""
     d = describe(pages, id_col, url_col, payload_col, min_revisit)
-    spark = pages.sparkSession
-    whole = f"{path}/whole"
-    # one pass over the pages; the payload stays only with the responses
-    with_header(d).select("page_id", "digest", "record_type", "header", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "n_bytes").write.option("compression", "zstd").parquet(whole)
-    rows = spark.read.parquet(whole)
-    rows.select("page_id", "digest", "header").write.option("compression", "zstd").parquet(f"{path}/records")
-    rows.filter("record_type = 'response'").select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    drop_path(spark, whole)
+    # two passes: the records' pass moves no payload, and the payloads' shuffle carries each task's distinct ones
+    with_header(d).select("page_id", "digest", "header").write.option("compression", "zstd").parquet(f"{path}/records")
+    payload = pages.select(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    payload.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 

@@ -269,11 +269,18 @@ def score(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = stored(count_words(rows.filter(~F.col("held_out"))), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(looked_up).collect()
+    # the looked-up words are those of the highest counts, cut where a fine logarithmic class of counts would pass the bound
+    counts = counts.withColumn("high", F.floor(16 * F.log2("c")))
+    cut, have = None, 0
+    for high, size in counts.groupBy("high").count().orderBy(F.desc("high")).collect():
+        if have + size > looked_up:
+            break
+        cut, have = high, have + size
+    cut = 1 << 20 if cut is None else cut
+    top = sorted(counts.filter(F.col("high") >= cut).select("word", "c").collect(), key=lambda r: (-r[1], r[0]))
     lookup = {r[0].encode(): (i if i < frequent else -1, r[1]) for i, r in enumerate(top)}
     own = [r[0] for r in top[:frequent]]
-    least = (top[-1][1], top[-1][0]) if len(top) == looked_up else (0, "")
-    rare = counts.filter((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > least[1])))
+    rare = counts.filter(F.col("high") < cut)
     # N and V of each shared symbol: those of all words less those of the frequent ones
     by_shape = np.zeros((shapes, 2))
     for s, sn, sv in counts.groupBy(shape_column(F.col("word"), shapes).alias("s")).agg(F.sum("c"), F.count("*")).collect():
@@ -285,7 +292,9 @@ def score(
     coded = stored(encode(rows, held, frequent, shapes), "lm-coded")
     mass = np.concatenate([[lookup[w.encode()][1] for w in own], np.zeros(frequent - len(own)), by_shape[:, 0]])
     unigram = (mass + 1) / (mass.sum() + len(mass))
-    picked = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= sample_tokens)).orderBy(F.xxhash64("key"), "key").limit(sample_docs).select("symbols").collect()
+    texts = lookup.get(END.encode(), (0, 0))[1]
+    few = F.pmod(F.xxhash64("key"), F.lit(max(1, texts // (4 * sample_docs)))) == 0  # about four times the sample, before it is cut
+    picked = coded.filter(few & ~F.col("held_out") & (F.col("n_tokens") <= sample_tokens)).orderBy(F.xxhash64("key"), "key").limit(sample_docs).select("symbols").collect()
     m = first_model(states, unigram, [np.frombuffer(r[0], np.uint16) for r in picked], sample_rounds, seed)
     for _ in range(rounds):
         m = train_round(coded, m, unigram)

@@ -2,9 +2,9 @@
 
 Documents of equal word sequences form a class, which stands for all its copies. Classes whose MinHash
 signatures agree in a band are candidates. In every bucket each member first meets only one hub; what
-turns out linked is one component, and only members of different components then meet each other, so
-a bucket of copies costs as many comparisons as it has members while no link between different texts
-is lost. A candidate's signatures are compared in batches: after n values with m equal, the pair is
+turns out linked is one component, and only members of different components then meet each other, in
+bounded blocks that give out likely links alone. So a bucket of copies costs about as many comparisons
+as it has members, no pairs are listed, and no link between different texts is lost. A candidate's signatures are compared in batches: after n values with m equal, the pair is
 dropped where the posterior probability of a similarity at or above the threshold (uniform prior) is
 below the chosen miss probability. Survivors are confirmed by intersecting their whole shingle sets.
 
@@ -29,6 +29,8 @@ from namewright.llm.common import stored
 from namewright.llm.components import components
 
 BANDS, ROWS, BATCH = 32, 5, 20
+#: Most rows of a block: members outside the largest component, and all members.
+CHUNKS = (512, 2048)
 MISS = 1e-7
 SEED = 7
 
@@ -130,15 +132,7 @@ def survive(pairs: DataFrame, n_hashes: int, percent: int, miss: float) -> DataF
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Of (a, b) the pairs whose full shingle sets have 100 * intersection >= percent * union."""
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    ids = ends.join(nodes.select("digest", "least"), "digest")
-
-    def load(batches):
-        for t in batches:
-            w = [b" ".join(word_list(x)) for x in t[0].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x).digest() for x in w], pa.binary()), pa.array(w, pa.binary())], ["digest", "words"])
-
-    found = docs.join(ids.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(load, "digest binary, words binary")
-    texts = stored(found.join(ends, "digest", "left_semi").dropDuplicates(["digest"]), "dedup-texts")
+    texts = stored(load_words(docs, nodes, ends), "dedup-texts")
 
     def run(batches):
         last, own = None, set()
@@ -157,43 +151,135 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
     return met.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, hub_rounds: int = 2) -> DataFrame:
-    """Confirmed links (a, b) that connect all classes which any chain of links connects."""
+def load_words(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(digest, words) once for each digest in ends: the words of its text, joined by spaces."""
+    ids = ends.join(nodes.select("digest", "least"), "digest").select("least").distinct()
+
+    def load(batches):
+        for t in batches:
+            w = [b" ".join(word_list(x)) for x in t[0].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x).digest() for x in w], pa.binary()), pa.array(w, pa.binary())], ["digest", "words"])
+
+    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(load, "digest binary, words binary")
+    return found.join(ends, "digest", "left_semi").dropDuplicates(["digest"])
+
+
+def cross_links(rest: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """Likely links between members of different components within the buckets of rest (key, band, digest, root).
+
+    In each bucket the members outside its largest component meet all its members. Both sides are dealt
+    in chunks, so a bucket of any size is worked through in blocks of at most some CHUNKS rows, and no
+    pair leaves a block but likely links: of each two components the first few. A pair is looked at in its
+    first common band only; it must survive the sequential comparison and the intersection of its whole hashed sets.
+    """
+    n_hashes, needed = bands * rows, least_matches(bands * rows, percent / 100, miss, BATCH)
+    counted = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sized = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"))
+    sized = sized.select("key", F.col("main.root").alias("main"), F.ceil(F.greatest(F.lit(1), F.col("size") - F.col("main.n")) / CHUNKS[0]).alias("n_out"), F.ceil(F.col("size") / CHUNKS[1]).alias("n_all"))
+    met = rest.join(sized, "key")
+    place = lambda n, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), n)
+    as_all = met.select("key", "band", "digest", "root", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("i"), place(F.col("n_all"), 1).alias("j"))
+    as_out = met.filter("root <> main").select("key", "band", "digest", "root", F.lit(True).alias("out"), place(F.col("n_out"), 2).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"))
+    ends = rest.select("digest").distinct()
+
+    def shrink(batches):
+        memo: dict = {}
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t["digest"], pa.array([hashes(w.split(), k, memo).astype("<u8").tobytes() for w in t["words"].to_pylist()], pa.binary())], ["digest", "shingles"])
+            if len(memo) > 300_000:
+                memo.clear()
+
+    sets = load_words(docs, nodes, ends).mapInArrow(shrink, "digest binary, shingles binary").join(nodes.select("digest", "sig"), "digest")
+    entries = as_all.unionByName(as_out).withColumn("block", F.xxhash64("key", "i", "j")).join(stored(sets, "dedup-sets"), "digest")
+    factors = multipliers(rows)
+
+    def solve(block: list) -> list:
+        out, everyone = [r for r in block if r["out"]], [r for r in block if not r["out"]]
+        if not out or not everyone:
+            return []
+        band = block[0]["band"]
+        x, y = (np.frombuffer(b"".join(r["sig"] for r in side), "<u4").reshape(-1, n_hashes) for side in (out, everyone))
+        kx, ky = ((s.reshape(-1, bands, rows).astype(np.uint64) * factors).sum(2, dtype=np.uint64) for s in (x, y))
+        names = sorted({r["root"] for r in block})
+        code = {v: i for i, v in enumerate(names)}
+        rx, ry = (np.array([code[r["root"]] for r in side]) for side in (out, everyone))
+        open_ = rx[:, None] != ry[None, :]
+        for e in range(band):
+            open_ &= kx[:, None, e] != ky[None, :, e]
+        p, q = np.nonzero(open_)
+        m = np.zeros(len(p), np.int64)
+        for i, least in enumerate(needed):
+            part = slice(i * BATCH, (i + 1) * BATCH)
+            for a in range(0, len(p), 1 << 16):
+                m[a : a + (1 << 16)] += (x[p[a : a + (1 << 16)], part] == y[q[a : a + (1 << 16)], part]).sum(1)
+            stay = m >= least
+            p, q, m = p[stay], q[stay], m[stay]
+        order = np.argsort(-m, kind="stable")
+        p, q = p[order], q[order]
+        found, taken = [], {}
+        got = [np.frombuffer(r["shingles"], "<u8") for r in everyone]
+        size = np.array([len(g) for g in got])
+        for i in np.unique(p):
+            mine = np.frombuffer(out[i]["shingles"], "<u8")
+            js = q[p == i]
+            fit = 100 * np.minimum(size[js], len(mine)) >= percent * np.maximum(size[js], len(mine))
+            js = js[fit]
+            for a in range(0, len(js), 1024):
+                part = js[a : a + 1024]
+                flat = np.concatenate([got[j] for j in part])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+                for j in part[100 * both >= percent * (len(mine) + size[part] - both)]:
+                    pair = (min(rx[i], ry[j]), max(rx[i], ry[j]))
+                    if taken.get(pair, 0) < 4:
+                        taken[pair] = taken.get(pair, 0) + 1
+                        found.append((out[i]["digest"], everyone[j]["digest"]))
+        return found
+
+    def run(batches):
+        block, last = [], None
+        for t in batches:
+            found = []
+            for r in t.to_pylist():
+                if r["block"] != last and block:
+                    found += solve(block)
+                    block = []
+                last = r["block"]
+                block.append(r)
+            yield _pairs(found)
+        if block:
+            yield _pairs(solve(block))
+
+    dealt = entries.select("block", "band", "digest", "root", "out", "sig", "shingles").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _pairs(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+
+def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """Confirmed links (a, b) that connect all classes which any chain of links connects.
+
+    The hub of a bucket is its member with the most bucket mates over all bands, which is the most central one of a family of copies.
+    """
     width = 4 * rows
     keys = F.array(*[F.xxhash64(F.substring("sig", i * width + 1, width), F.lit(i)) for i in range(bands)])
-    entries = nodes.select("digest", F.explode(keys).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    entries = nodes.select("digest", F.posexplode(keys).alias("band", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     entries = stored(entries.join(shared, "key"), "dedup-buckets")
-    sized = nodes.select("digest", "n", "sig")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sized.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        met = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return stored(confirm(stored(survive(met, bands * rows, percent, miss), "dedup-pairs"), docs, nodes, k, percent), "dedup-links")
-
-    def pair(hub: DataFrame, members: DataFrame, more=None) -> DataFrame:
-        met = hub.join(members, "key") if more is None else hub.join(members, "key").filter(more)
-        return met.select(F.greatest("hub", "digest").alias("a"), F.least("hub", "digest").alias("b")).filter(F.col("a") != F.col("b")).distinct()
-
-    found = None
-    for turn in range(hub_rounds + 1):
-        if found is None:
-            rest = entries.withColumn("root", F.col("digest"))
-        else:
-            roots = components(found)
-            rest = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-            split = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-            rest = stored(rest.join(split, "key"), "dedup-rest")
-        if turn < hub_rounds:
-            pick = F.min if turn % 2 == 0 else F.max
-            hub = rest.groupBy("key").agg(pick(F.struct("digest", "root")).alias("h")).select("key", F.col("h.digest").alias("hub"), F.col("h.root").alias("hub_root"))
-            pairs = pair(hub, rest, F.col("hub_root") != F.col("root"))
-        else:
-            hub = rest.select("key", F.col("digest").alias("hub"), F.col("root").alias("hub_root"))
-            pairs = pair(hub, rest, F.col("hub_root") < F.col("root"))
-        more = tested(pairs)
-        found = more if found is None else found.union(more)
-    return found
+    weight = entries.groupBy("digest").agg(F.sum("size").alias("weight"))
+    hubs = entries.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest")).alias("h")).select("key", F.col("h.digest").alias("hub"))
+    pairs = hubs.join(entries, "key").select(F.col("hub").alias("a"), F.col("digest").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+    side = lambda x: nodes.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    found = stored(confirm(stored(survive(met, bands * rows, percent, miss), "dedup-pairs"), docs, nodes, k, percent), "dedup-links")
+    roots = components(found)
+    rest = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("root", "digest").alias("root"))
+    split = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    rest = stored(rest.join(split, "key"), "dedup-rest")
+    likely = stored(cross_links(rest, docs, nodes, k, percent, bands, rows, miss), "dedup-likely")
+    return found.union(stored(confirm(likely, docs, nodes, k, percent), "dedup-links"))
 
 
 def dedup(

@@ -1,4 +1,565 @@
-"""Registered queries over the driver's tables, with the SQL that checks them."""
+"""Registered queries over the driver's tables, with the SQL that checks them.
 
-QUERIES = {}
-ORACLE = {}
+Every query runs over whole tables. Counts are BIGINT and ratios are rounded to nine digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from namewright.functions import lexicon, names
+from namewright.operators import edits, evaluate, expand, graph, study
+from namewright.plans.identifiers import GOLD_SQL, IDS_SQL, RENAMES_SQL, gold_and_found, identifiers, load, renames
+from namewright.schema import ALLOWED_RELATIONS
+from namewright.sources.shared import ready
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+
+
+IDS, REN = f"WITH {IDS_SQL} ", f"WITH {IDS_SQL}, {RENAMES_SQL} "
+GOLD = f"WITH {IDS_SQL}, {RENAMES_SQL}, {GOLD_SQL} "
+#: Words of a name in SQL: delimiters and camel boundaries become spaces.
+WORDS_SQL = r"list_filter(string_split(regexp_replace(regexp_replace(name, '[_$0-9]+', ' ', 'g'), '([a-z]+|[A-Z][a-z]+)', ' \1 ', 'g'), ' '), lambda x: x <> '')"
+CASE_SQL = "CASE WHEN regexp_full_match(x, '[A-Z]+') THEN 'UPPER' WHEN regexp_full_match(x, '[A-Z][a-z]+') THEN 'TITLE' WHEN regexp_full_match(x, '[a-z]+') THEN 'LOWER' ELSE 'UNKNOWN' END"
+
+
+@_query(IDS + "SELECT id, file, line, id_type, name FROM ids")
+def identifier_view(spark, sf):
+    """The identifier table."""
+    return identifiers(spark, sf).select("id", "file", "line", "id_type", "name")
+
+
+@_query(IDS + f"SELECT lower(x) AS word, {CASE_SQL} AS word_case, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({WORDS_SQL}) AS x FROM ids) GROUP BY 1, 2")
+def split_words(spark, sf):
+    """words of all names with their case, counted."""
+    w = identifiers(spark, sf).select(F.explode(names.raw_words("name")).alias("x"))
+    return w.groupBy(F.lower("x").alias("word"), names.case_of(F.col("x")).alias("word_case")).agg(F.count("*").alias("n"))
+
+
+@_query(IDS + """SELECT id, array_to_string(CASE style WHEN 0 THEN ['LCAMEL'] WHEN 1 THEN ['TCAMEL'] ELSE ['SNAKE'] END, ';') AS patterns,
+    array_to_string(CASE WHEN style < 2 THEN ['', '', ''] ELSE ['', '_', ''] END, ';') AS delims,
+    array_to_string(CASE style WHEN 0 THEN ['LOWER', 'TITLE'] WHEN 1 THEN ['TITLE', 'TITLE'] WHEN 2 THEN ['LOWER', 'LOWER'] ELSE ['UPPER', 'UPPER'] END, ';') AS cases FROM ids""")
+def name_pattern(spark, sf):
+    """Delimiters, cases and patterns of every name."""
+    d = identifiers(spark, sf).withColumns({"_d": names.delimiters("name"), "_c": names.cases("name")})
+    return d.select("id", F.array_join(names.patterns("_c", "_d"), ";").alias("patterns"), F.array_join("_d", ";").alias("delims"), F.array_join("_c", ";").alias("cases"))
+
+
+@_query(REN + 'SELECT "commit", CAST(idx AS BIGINT) AS idx, old_name, new_name FROM renames')
+def recase_join(spark, sf):
+    """F7, F8, D-7..D-9: new names put together from edited word lists."""
+    return renames(spark, sf).select("commit", F.col("idx").cast("long").alias("idx"), "old_name", "new_name")
+
+
+@_query(IDS + "SELECT a.id AS src, 'siblings' AS rel, b.id AS dst FROM ids a JOIN ids b ON a.file = b.file AND a.line = b.line AND a.id <> b.id")
+def sibling_edges(spark, sf):
+    """Members of one place."""
+    return graph.siblings(identifiers(spark, sf).select(F.struct("file", "line").alias("cls"), F.col("id").alias("member")))
+
+
+def _typed_edges(spark, sf) -> DataFrame:
+    i = identifiers(spark, sf)
+    owned = i.select(F.struct("file", "line").alias("cls"), F.col("id").alias("member"))
+    ps = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("member"), F.col("l_suppkey").alias("cls")).distinct()
+    return graph.siblings(owned).union(graph.members(ps, "fields").filter("rel = 'enclosingClass'")).union(graph.edge(i.withColumn("type_id", F.col("id") % 150), "id", "type", "type_id"))
+
+
+_ALLOWED = ", ".join(f"('{t}', '{r}')" for t, rs in ALLOWED_RELATIONS.items() for r in rs)
+
+
+@_query(IDS + f"""SELECT e.src, e.rel, e.dst FROM (
+    SELECT a.id AS src, 'siblings' AS rel, b.id AS dst FROM ids a JOIN ids b ON a.file = b.file AND a.line = b.line AND a.id <> b.id
+    UNION ALL SELECT DISTINCT l_partkey, 'enclosingClass', l_suppkey FROM lineitem UNION ALL SELECT id, 'type', id % 150 FROM ids) e
+    JOIN ids i ON e.src = i.id WHERE (i.id_type, e.rel) IN ({_ALLOWED})""")
+def allowed_edges(spark, sf):
+    """Edges whose label their source may carry."""
+    return graph.allowed(_typed_edges(spark, sf), identifiers(spark, sf))
+
+
+@_query("""WITH RECURSIVE extends AS (
+    SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+    UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders),
+    up AS (SELECT child, parent, 1 AS depth FROM extends UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN extends e ON u.parent = e.child WHERE u.depth < 32)
+    SELECT child AS src, 'ancestor' AS rel, parent AS dst FROM up WHERE depth >= 2 UNION ALL SELECT parent, 'subsubclass', child FROM up WHERE depth >= 2""")
+def ancestors_recursive(spark, sf):
+    """Ancestors two levels up or more, both ways."""
+    ready(spark)
+    pair = lambda t, a, ca, b, cb: load(spark, sf, t).select(F.concat(F.lit(a), F.col(ca)).alias("child"), F.concat(F.lit(b), F.col(cb)).alias("parent"))
+    e = pair("nation", "N", "n_nationkey", "R", "n_regionkey").union(pair("customer", "C", "c_custkey", "N", "c_nationkey")).union(pair("supplier", "S", "s_suppkey", "N", "s_nationkey")).union(pair("orders", "O", "o_orderkey", "C", "o_custkey"))
+    return graph.ancestors(spark, e)
+
+
+#: A trigger's first word becomes 'fresh'; a candidate follows if it has that word.
+_NEW_NAME_SQL = """CASE c.style WHEN 0 THEN (CASE WHEN c.w1 = t.w1 THEN 'fresh' ELSE c.w1 END) || (CASE WHEN c.w1 <> t.w1 AND c.w2 = t.w1 THEN 'Fresh' ELSE upper(substr(c.w2, 1, 1)) || substr(c.w2, 2) END)
+    WHEN 1 THEN (CASE WHEN c.w1 = t.w1 THEN 'Fresh' ELSE upper(substr(c.w1, 1, 1)) || substr(c.w1, 2) END) || (CASE WHEN c.w1 <> t.w1 AND c.w2 = t.w1 THEN 'Fresh' ELSE upper(substr(c.w2, 1, 1)) || substr(c.w2, 2) END)
+    WHEN 2 THEN (CASE WHEN c.w1 = t.w1 THEN 'fresh' ELSE c.w1 END) || '_' || (CASE WHEN c.w1 <> t.w1 AND c.w2 = t.w1 THEN 'fresh' ELSE c.w2 END)
+    ELSE upper((CASE WHEN c.w1 = t.w1 THEN 'fresh' ELSE c.w1 END) || '_' || (CASE WHEN c.w1 <> t.w1 AND c.w2 = t.w1 THEN 'fresh' ELSE c.w2 END)) END"""
+
+
+@_query(IDS.replace("WITH ids", "WITH RECURSIVE ids").replace("FROM part) p)", "FROM part) p), edges AS (SELECT a.id AS src, b.id AS dst, b.file <> a.file AS away FROM ids a JOIN ids b ON abs(a.id - b.id) IN (7, 11)), walk AS (SELECT id AS trigger_id, id, 0 AS score FROM ids UNION ALL SELECT w.trigger_id, e.dst, w.score + 1 + CASE WHEN e.away THEN 1 ELSE 0 END + CASE WHEN w.id = w.trigger_id OR c.w1 = t.w1 OR c.w2 = t.w1 THEN 0 ELSE 5 END FROM walk w JOIN ids t ON w.trigger_id = t.id JOIN ids c ON w.id = c.id JOIN edges e ON e.src = w.id WHERE w.score + 1 + CASE WHEN e.away THEN 1 ELSE 0 END + CASE WHEN w.id = w.trigger_id OR c.w1 = t.w1 OR c.w2 = t.w1 THEN 0 ELSE 5 END < 11)") + f"""
+    SELECT trigger_id, id, new_name, CAST(rank AS BIGINT) AS rank FROM (SELECT s.trigger_id, s.id, {_NEW_NAME_SQL} AS new_name, s.rank, row_number() OVER (PARTITION BY s.trigger_id ORDER BY s.rank, s.id) AS n
+    FROM (SELECT trigger_id, id, min(score) AS rank FROM walk WHERE id <> trigger_id GROUP BY trigger_id, id) s JOIN ids t ON s.trigger_id = t.id JOIN ids c ON s.id = c.id WHERE c.w1 = t.w1 OR c.w2 = t.w1) WHERE n <= 50""")
+def best_first_recommend(spark, sf):
+    """G1, T5, D-12: best-first recommendation from every identifier at once."""
+    ready(spark)
+    i = identifiers(spark, sf)
+    ids = i.select("id", "file", "name")
+    keys = i.select("id")
+    step = F.explode(F.array(*[F.col("id") + k for k in (7, 11, -7, -11)]))
+    edges = keys.select(F.col("id").alias("src"), step.alias("dst")).join(keys.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    pattern = F.when(F.col("style") == 0, F.array(F.lit("LCAMEL"))).when(F.col("style") == 1, F.array(F.lit("TCAMEL"))).otherwise(F.array(F.lit("SNAKE")))
+    words = F.array(F.lit("fresh"), F.col("w2"))
+    new = names.join(names.recase(words, pattern, F.transform(words, lambda _: F.when(F.col("style") == 3, "UPPER").otherwise("LOWER"))), pattern, F.array_repeat(F.lit(""), 3))
+    triggers = i.select(F.col("id").alias("trigger_id"), "id", F.col("name").alias("old_name"), new.alias("new_name"))
+    out = graph.best_first(triggers, ids, edges, edits.recommended)
+    return out.select("trigger_id", "id", "new_name", F.col("rank").cast("long").alias("rank"))
+
+
+def _commits(spark, sf) -> DataFrame:
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"))
+
+
+def _window_sql(end: str) -> str:
+    return f"""SELECT a.o_orderkey AS "commit", CAST(count(*) AS BIGINT) AS n, CAST(min(b.o_orderkey) AS BIGINT) AS first_other, CAST(max(b.o_orderkey) AS BIGINT) AS last_other
+    FROM orders a JOIN orders b ON b.o_orderdate >= a.o_orderdate AND b.o_orderdate {end} a.o_orderdate + INTERVAL 2 DAY GROUP BY 1"""
+
+
+def _window_summary(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("commit").agg(F.count("*").alias("n"), F.min("other").alias("first_other"), F.max("other").alias("last_other"))
+
+
+@_query(_window_sql("<"))
+def commit_window_pairs(spark, sf):
+    """Commits within two days, end excluded."""
+    return _window_summary(evaluate.window_pairs(_commits(spark, sf), 2))
+
+
+@_query(_window_sql("<="))
+def commit_window_closed(spark, sf):
+    """Commits within two days, end included."""
+    return _window_summary(evaluate.window_pairs(_commits(spark, sf), 2, closed=True))
+
+
+@_query("""SELECT o_orderkey AS "commit", CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS seq FROM orders""")
+def commit_sequence(spark, sf):
+    """Commits numbered by time, the ranges of days in parallel."""
+    from namewright.operators.order import numbered
+
+    return numbered(_commits(spark, sf), ["ts", "commit"], F.to_date("ts"), "seq").select("commit", "seq")
+
+
+@_query(REN + """SELECT a."commit", CAST(a.idx AS BIGINT) AS idx, CAST(count(DISTINCT b.idx) AS BIGINT) AS n FROM (SELECT DISTINCT "commit", idx, op_key FROM renames) a JOIN (SELECT DISTINCT "commit", idx, op_key FROM renames) b
+    ON a.op_key = b.op_key AND a."commit" = b."commit" AND NOT (a.idx = b.idx) GROUP BY 1, 2""")
+def shared_op_renames(spark, sf):
+    """Renames of one commit (a window of no days) that share an operation with a trigger."""
+    r = renames(spark, sf).select("commit", "idx", "op_key").distinct()
+    same = r.select("commit", F.col("commit").alias("other")).distinct()
+    return evaluate.share_operation(r, r, same).groupBy("commit", F.col("idx").cast("long").alias("idx")).agg(F.count_distinct("other", "other_idx").alias("n"))
+
+
+@_query(REN + """SELECT "commit", CAST(idx AS BIGINT) AS idx, old_name, CAST(min(found) AS BIGINT) AS id FROM (
+    SELECT r."commit", r.idx, r.old_name, r.line, r.file, i.id AS found, rank() OVER (PARTITION BY r."commit", r.idx, r.old_name, r.line, r.file, r.id_type ORDER BY CASE WHEN i.id_type = r.id_type THEN 0 ELSE 1 END, i.id) AS k
+    FROM (SELECT DISTINCT "commit", idx, old_name, line, file, id_type FROM renames) r LEFT JOIN ids i ON i.name = r.old_name AND i.line = r.line AND i.file = r.file) WHERE k = 1 GROUP BY "commit", idx, old_name, line, file""")
+def trigger_lookup(spark, sf):
+    """Each rename's identifier."""
+    r = renames(spark, sf).select("commit", "idx", "old_name", "line", "file", "id_type").distinct()
+    out = evaluate.locate(r, identifiers(spark, sf))
+    return out.groupBy("commit", F.col("idx").cast("long").alias("idx"), "old_name", "line", "file").agg(F.min("id").alias("id")).drop("line", "file")
+
+
+_KEY = '"commit", line, id_type, name, file'
+_ON = " AND ".join(f"f.{c} = g.{c}" for c in ('"commit"', "line", "id_type", "name", "file"))
+
+
+@_query(GOLD + f'SELECT f."commit", f.line, f.id_type, f.name, f.file, f.new_name, f.new_name = g.gold_name AS exact FROM found f JOIN gold g ON {_ON}')
+def match_true_positive(spark, sf):
+    """Recommendations that are gold renames."""
+    gold, found = gold_and_found(spark, sf)
+    return evaluate.true_positives(found, gold, ["commit"]).select("commit", *evaluate.KEY, "new_name", "exact")
+
+
+@_query(GOLD + f"SELECT {_KEY}, new_name FROM found f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE {_ON})")
+def match_false_positive(spark, sf):
+    """Recommendations that are no gold renames."""
+    gold, found = gold_and_found(spark, sf)
+    return evaluate.false_positives(found, gold, ["commit"]).select("commit", *evaluate.KEY, "new_name")
+
+
+@_query(GOLD + f"SELECT {_KEY}, gold_name FROM gold g WHERE NOT EXISTS (SELECT 1 FROM found f WHERE {_ON})")
+def match_false_negative(spark, sf):
+    """Gold renames that are not recommended."""
+    gold, found = gold_and_found(spark, sf)
+    return evaluate.false_negatives(found, gold, ["commit"])
+
+
+@_query(GOLD + f"""SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT "commit") AS BIGINT) AS commits FROM (
+    SELECT f."commit", 'TP' AS kind FROM found f JOIN gold g ON {_ON} UNION ALL SELECT f."commit", 'FP' FROM found f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE {_ON})
+    UNION ALL SELECT g."commit", 'FN' FROM gold g WHERE NOT EXISTS (SELECT 1 FROM found f WHERE {_ON})) GROUP BY kind""")
+def match_detail(spark, sf):
+    """All three kinds together, counted."""
+    gold, found = gold_and_found(spark, sf)
+    return evaluate.detail(found, gold, ["commit"]).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("commit").alias("commits"))
+
+
+def _structured(spark, sf, shift: int) -> DataFrame:
+    i = identifiers(spark, sf)
+    return i.select("id", "name", "id_type", "file", (F.col("line") + shift).alias("enclosing_class"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("line") % 7).alias("enclosing_method"), F.array(F.col("line") % 5, F.col("line") % 11).alias("related"))
+
+
+_STRUCT_SQL = "SELECT id, name, id_type, file, line + {k} AS enclosing_class, CASE WHEN id % 3 = 0 THEN NULL ELSE line % 7 END AS enclosing_method, [line % 5, line % 11] AS related FROM ids"
+
+
+@_query(IDS + f""", a AS ({_STRUCT_SQL.format(k=0)}), b AS ({_STRUCT_SQL.format(k=1)}), fuzzy AS (
+    SELECT a.id AS rec, b.id AS gold_id, CASE WHEN a.id_type = 'ClassName' AND a.file = b.file AND list_has_any(a.related, b.related) THEN 1
+      WHEN a.id_type IN ('MethodName', 'FieldName') AND a.enclosing_class = b.enclosing_class THEN 1 WHEN a.id_type IN ('MethodName', 'FieldName') AND list_has_any(a.related, b.related) THEN 2
+      WHEN a.id_type IN ('ParameterName', 'VariableName') AND a.enclosing_class = b.enclosing_class AND a.enclosing_method IS NOT DISTINCT FROM b.enclosing_method THEN 1 END AS priority
+    FROM a JOIN b ON a.name = b.name AND a.id_type = b.id_type), everything AS (SELECT a.id AS rec, b.id AS gold_id, 0 AS priority FROM a JOIN b ON a.id = b.id AND a.id % 4 = 0 UNION ALL SELECT * FROM fuzzy WHERE priority IS NOT NULL)
+    SELECT rec, gold_id, CAST(priority AS BIGINT) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY gold_id ORDER BY priority, rec) AS n FROM everything) WHERE n = 1""")
+def fuzzy_match(spark, sf):
+    """Exact matches first, then matches by structure."""
+    a, b = _structured(spark, sf, 0), _structured(spark, sf, 1)
+    exact = a.filter("id % 4 = 0").select(F.col("id").alias("rec"), F.col("id").alias("gold_id"))
+    out = evaluate.prioritised(exact, evaluate.fuzzy_matches(a, b))
+    return out.select("rec", "gold_id", F.col("priority").cast("long").alias("priority"))
+
+
+_METRICS_SQL = GOLD + f""", g2 AS (SELECT "commit", count(*) AS n_gold FROM gold GROUP BY "commit"),
+    h AS (SELECT f."commit", count(*) AS n_found, count(g.name) AS n_hit, count(CASE WHEN f.new_name = g.gold_name THEN 1 END) AS n_exact FROM found f LEFT JOIN gold g ON {_ON} GROUP BY f."commit"),
+    m AS (SELECT g2."commit", n_gold, coalesce(n_found, 0) AS n_found, coalesce(n_hit, 0) AS n_hit, coalesce(n_exact, 0) AS n_exact FROM g2 LEFT JOIN h ON g2."commit" = h."commit"),
+    per AS (SELECT *, CASE WHEN n_gold <= 1 THEN 0.0 WHEN n_found = 0 THEN NULL ELSE CAST(n_hit AS DOUBLE) / n_found END AS "precision",
+      CASE WHEN n_gold <= 1 OR n_found = 0 THEN 0.0 ELSE CAST(n_hit AS DOUBLE) / (n_gold - 1) END AS recall,
+      CASE WHEN n_gold <= 1 THEN 0.0 WHEN n_found = 0 THEN NULL WHEN n_hit = 0 THEN 0.0 ELSE 2.0 * (CAST(n_hit AS DOUBLE) / n_found) * (CAST(n_hit AS DOUBLE) / (n_gold - 1)) / (CAST(n_hit AS DOUBLE) / n_found + CAST(n_hit AS DOUBLE) / (n_gold - 1)) END AS fscore,
+      CASE WHEN n_gold <= 1 THEN 0.0 WHEN n_found = 0 THEN NULL WHEN n_hit = 0 THEN 0.0 ELSE CAST(n_exact AS DOUBLE) / n_hit END AS exact FROM m) """
+
+
+def _per_commit(spark, sf) -> DataFrame:
+    """Metrics with each commit as one trigger."""
+    gold, found = gold_and_found(spark, sf)
+    return evaluate.trigger_metrics(gold.withColumn("trigger", F.lit(0)), found.withColumn("trigger", F.lit(0)), "commit", "trigger").drop("trigger")
+
+
+def _rounded(df: DataFrame, columns) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in columns})
+
+
+_FOUR = ["precision", "recall", "fscore", "exact"]
+
+
+@_query(_METRICS_SQL + 'SELECT "commit", n_gold, n_found, n_hit, n_exact, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(fscore, 9) AS fscore, round(exact, 9) AS exact FROM per')
+def precision_recall(spark, sf):
+    """A3: precision, recall, F and exact rate of each commit."""
+    return _rounded(_per_commit(spark, sf), _FOUR)
+
+
+@_query(_METRICS_SQL + """SELECT n_gold, round(avg("precision"), 9) AS "precision", round(avg(recall), 9) AS recall, round(avg(fscore), 9) AS fscore, round(avg(exact), 9) AS exact,
+    count(*) - count("precision") AS precision_missing, count(*) - count(recall) AS recall_missing, count(*) - count(fscore) AS fscore_missing, count(*) - count(exact) AS exact_missing FROM per GROUP BY n_gold""")
+def mean_metrics(spark, sf):
+    """A4, A5: means that skip NULLs and the numbers of NULLs, by gold set size."""
+    return _rounded(evaluate.mean_metrics(_per_commit(spark, sf), ["n_gold"]), _FOUR)
+
+
+@_query(_METRICS_SQL + """SELECT n_gold, CAST(count(recall) AS BIGINT) AS "count", round(avg(recall), 9) AS mean, round(stddev_samp(recall), 9) AS std, round(min(recall), 9) AS "min", round(quantile_cont(recall, 0.25), 9) AS q1,
+    round(quantile_cont(recall, 0.5), 9) AS median, round(quantile_cont(recall, 0.75), 9) AS q3, round(max(recall), 9) AS "max" FROM per WHERE "precision" > 0 OR recall > 0 OR fscore > 0 OR exact > 0 GROUP BY n_gold""")
+def metric_medians(spark, sf):
+    """Exact quartiles of commits with any score."""
+    return _rounded(study.describe(evaluate.scored_somewhere(_per_commit(spark, sf), _FOUR), "recall", ["n_gold"]), ["mean", "std", "min", "q1", "median", "q3", "max"])
+
+
+@_query(_METRICS_SQL + """SELECT CAST(b AS BIGINT) AS bucket, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_found) AS BIGINT) AS n_found, CAST(sum(n_hit) AS BIGINT) AS n_hit,
+    round(CASE WHEN sum(n_found) = 0 THEN 0.0 ELSE CAST(sum(n_hit) AS DOUBLE) / sum(n_found) END, 9) AS "precision", round(CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE CAST(sum(n_hit) AS DOUBLE) / sum(n_gold) END, 9) AS recall
+    FROM (SELECT *, "commit" % 10 AS b FROM per) GROUP BY ROLLUP (b)""")
+def micro_totals(spark, sf):
+    """Totals and their ratios for buckets of commits and for all."""
+    return _rounded(evaluate.micro_totals(_per_commit(spark, sf).withColumn("bucket", F.col("commit") % 10), ["bucket"]), ["precision", "recall"])
+
+
+@_query(_METRICS_SQL + """SELECT op, CAST(count(*) AS BIGINT) AS n_triggers, CAST(sum(n_found) AS BIGINT) AS n_found, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM renames r JOIN per p ON r."commit" = p."commit" GROUP BY op""")
+def op_totals(spark, sf):
+    """Totals of each operation kind."""
+    ops = renames(spark, sf).select("commit", F.array(F.struct("op")).alias("ops"))
+    return evaluate.op_totals(ops, _per_commit(spark, sf), ["commit"])
+
+
+@_query(GOLD + f"""SELECT CAST(f.rank AS INTEGER) AS rank, CAST(count(*) AS BIGINT) AS n_all, CAST(count(g.name) AS BIGINT) AS n_true FROM found f LEFT JOIN gold g ON {_ON} WHERE f.rank BETWEEN 1 AND 30 GROUP BY 1""")
+def rank_histogram(spark, sf):
+    """Recommendations by rank, all and true."""
+    gold, found = gold_and_found(spark, sf)
+    met = found.join(gold, ["commit", *evaluate.KEY], "left").select("rank", F.col("gold_name").isNotNull().alias("hit"))
+    return evaluate.rank_histogram(met)
+
+
+_ANCHOR_SQL = ', pairs AS (SELECT a.o_orderkey AS "commit", b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_orderdate = b.o_orderdate)'
+
+
+def _same_day(spark, sf) -> DataFrame:
+    return evaluate.window_pairs(_commits(spark, sf), 0, closed=True)
+
+
+@_query(REN + _ANCHOR_SQL + """SELECT size, CAST(count(*) AS BIGINT) AS n FROM (SELECT p."commit", op_key, CAST(least(count(DISTINCT (p.other, r.idx)), 10) AS BIGINT) AS size FROM pairs p JOIN renames r ON p.other = r."commit" GROUP BY 1, 2) GROUP BY size""")
+def group_size_histogram(spark, sf):
+    """Sizes of (commit, operation) groups at one point of time."""
+    out = evaluate.group_sizes(renames(spark, sf), _same_day(spark, sf))
+    return out.select(F.col("size").cast("long").alias("size"), "n")
+
+
+@_query(REN + _ANCHOR_SQL + """SELECT pool, CAST(count(*) AS BIGINT) AS n FROM (SELECT p."commit", op_key, CAST(least(count(DISTINCT p.other), 10) AS BIGINT) AS pool FROM pairs p JOIN renames r ON p.other = r."commit" GROUP BY 1, 2) GROUP BY pool""")
+def commit_pool_histogram(spark, sf):
+    """Commits that hold a group's renames."""
+    return evaluate.commit_pools(renames(spark, sf), _same_day(spark, sf)).select(F.col("pool").cast("long").alias("pool"), "n")
+
+
+@_query(REN + ', u AS (SELECT "commit", op_key, count(*) AS size FROM renames GROUP BY 1, 2) SELECT round(CAST(sum(size) AS DOUBLE) / count(*), 9) AS mean, round(median(size), 9) AS median FROM u')
+def unit_size_centre(spark, sf):
+    """Mean and median from a histogram."""
+    hist = study.units(renames(spark, sf), []).groupBy("size").agg(F.count("*").alias("n"))
+    return _rounded(evaluate.weighted_mean_median(hist, "size", "n"), ["mean", "median"])
+
+
+_UNITS_SQL = REN + ', u AS (SELECT "commit", op_key, op, CAST(count(*) AS BIGINT) AS size, CAST(count(DISTINCT file) AS BIGINT) AS files, CAST(count(DISTINCT id) AS BIGINT) AS uniq FROM renames GROUP BY 1, 2, 3) '
+_KINDS5 = ["ClassName", "MethodName", "FieldName", "ParameterName", "VariableName"]
+
+
+@_query(REN + 'SELECT "commit", op_key, op, CAST(count(*) AS BIGINT) AS size, ' + ", ".join(f"CAST(count(DISTINCT CASE WHEN id_type = '{k}' THEN (file, line, old_name, new_name) END) AS BIGINT) AS \"n_{k}\"" for k in _KINDS5) + " FROM renames GROUP BY 1, 2, 3")
+def rename_units(spark, sf):
+    """Rename units by commit and operation."""
+    return study.units(renames(spark, sf), _KINDS5)
+
+
+@_query(_UNITS_SQL + "SELECT size, " + ", ".join(f"CAST(count(CASE WHEN op = '{k}' THEN 1 END) AS BIGINT) AS \"{k}\"" for k in study.KINDS) + " FROM u GROUP BY size")
+def unit_size_by_kind(spark, sf):
+    """Units by size and operation kind."""
+    return study.size_by_kind(study.units(renames(spark, sf), []))
+
+
+@_query(_UNITS_SQL + "SELECT op, CAST(sum(size) AS BIGINT) AS renames FROM u GROUP BY op")
+def renames_by_kind(spark, sf):
+    """Renames of each operation kind."""
+    return study.renames_by_kind(study.units(renames(spark, sf), []))
+
+
+@_query(_UNITS_SQL + "SELECT op, round(1 - CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS DOUBLE) / sum(size), 9) AS rate, CAST(sum(size) AS BIGINT) AS renames, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS alone FROM u GROUP BY op")
+def co_rename_rate(spark, sf):
+    """Share of renames that are not alone."""
+    return _rounded(study.co_rename_rate(study.units(renames(spark, sf), []), ["op"]), ["rate"])
+
+
+@_query(_UNITS_SQL + 'SELECT size, renames, CAST(sum(renames) OVER (ORDER BY size) AS BIGINT) AS running, round(CAST(sum(renames) OVER (ORDER BY size) AS DOUBLE) / sum(renames) OVER (), 9) AS share FROM (SELECT size, CAST(sum(size) AS BIGINT) AS renames FROM u GROUP BY size) ORDER BY size LIMIT 19')
+def unit_size_cdf(spark, sf):
+    """Cumulative distribution of renames by unit size."""
+    return _rounded(study.size_cdf(study.units(renames(spark, sf), []), 19), ["share"])
+
+
+@_query(_UNITS_SQL + """, n AS (SELECT size, least(uniq, 6) AS bucket, count(*) AS n FROM u GROUP BY 1, 2), grid AS (SELECT size, bucket FROM (SELECT DISTINCT size FROM n) s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS bucket) b)
+    SELECT g.size, CAST(g.bucket AS BIGINT) AS bucket, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.bucket ORDER BY g.size) AS BIGINT) AS running FROM grid g LEFT JOIN n ON g.size = n.size AND g.bucket = n.bucket""")
+def unit_unique_cdf(spark, sf):
+    """Units by size and number of different identifiers, running."""
+    u = renames(spark, sf).groupBy("commit", "op_key", "op").agg(F.count("*").alias("size"), F.count_distinct("id").alias("uniq"))
+    return study.unique_cdf(u).select("size", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"), "running")
+
+
+@_query(IDS + """, c AS (SELECT file AS repo, id_type, CAST(count(*) AS BIGINT) AS n FROM ids GROUP BY 1, 2), s AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY repo) AS share FROM c)
+    SELECT id_type, CAST(count(share) AS BIGINT) AS "count", round(avg(share), 9) AS mean, round(stddev_samp(share), 9) AS std, round(min(share), 9) AS "min", round(quantile_cont(share, 0.25), 9) AS q1,
+    round(quantile_cont(share, 0.5), 9) AS median, round(quantile_cont(share, 0.75), 9) AS q3, round(max(share), 9) AS "max" FROM s GROUP BY id_type""")
+def relation_share(spark, sf):
+    """Shares within each repository, described by kind."""
+    c = identifiers(spark, sf).groupBy(F.col("file").alias("repo"), "id_type").agg(F.count("*").alias("n"))
+    return _rounded(study.describe(study.shares(c, "repo"), "share", ["id_type"]), ["mean", "std", "min", "q1", "median", "q3", "max"])
+
+
+_LEMMA_SQL = "CASE WHEN w1 LIKE '%e' THEN substr(w1, 1, length(w1) - 1) ELSE w1 END"
+
+
+@_query(REN + f""", a AS (SELECT DISTINCT "commit", {_LEMMA_SQL} AS op FROM renames), b AS (SELECT DISTINCT "commit", w1 AS op FROM renames)
+    SELECT "commit", CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY "commit" """)
+def affected_units(spark, sf):
+    """Units that only the normalised words give, counted by commit."""
+    r = renames(spark, sf)
+    stem = F.when(F.col("w1").like("%e"), F.expr("substr(w1, 1, length(w1) - 1)")).otherwise(F.col("w1"))
+    return study.affected(r.select("commit", stem.alias("op")), r.select("commit", F.col("w1").alias("op"))).groupBy("commit").agg(F.count("*").alias("n"))
+
+
+@_query(IDS + """, p AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM ids a JOIN ids b ON a.file = b.file AND a.line = b.line AND a.id < b.id), t AS (SELECT id FROM ids WHERE w1 LIKE '%e')
+    SELECT a, b FROM p WHERE a IN (SELECT id FROM t) OR b IN (SELECT id FROM t)""")
+def touched_relations(spark, sf):
+    """Related pairs with an affected end."""
+    i = identifiers(spark, sf)
+    sib = graph.siblings(i.select(F.struct("file", "line").alias("cls"), F.col("id").alias("member")))
+    pairs = sib.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return study.touched_relations(pairs, i.filter(F.col("w1").like("%e")).select("id"))
+
+
+_REL_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, ta, tb, '{rel}' AS rel, {str(same).lower()} AS same FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for x in ([a, 'FieldName'] if a == 'VariableName' and kind in ('TypeV', 'Assigns', 'Passes') else [a]) for y in ([b, 'FieldName'] if b == 'VariableName' and kind in ('TypeV', 'Assigns', 'Passes') else [b]))}) v(ta, tb)"
+    for kind, (a, b, rel, same) in graph.PAIR_RELATIONS.items()
+)
+_RELS = ["enclosingClass", "methods", "fields", "parameter", "enclosingMethod", "siblings", "parents", "implements", "type", "methodInvocated", "accesses", "assignment", "parameterArgument"]
+
+
+@_query(REN + f""", kinds AS ({_REL_SQL}), un AS (SELECT DISTINCT "commit" AS unit, id, id_type, file FROM renames),
+    e AS (SELECT DISTINCT a.id AS src, list_extract({_RELS}, CAST((a.id + b.id) % 13 AS INTEGER) + 1) AS rel, b.id AS dst FROM un a JOIN un b ON a.unit = b.unit AND a.id <> b.id)
+    SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT unit) AS BIGINT) AS units FROM (SELECT DISTINCT a.unit, k.kind, least(a.id, b.id) AS x, greatest(a.id, b.id) AS y
+      FROM un a JOIN e ON a.id = e.src JOIN un b ON b.id = e.dst AND b.unit = a.unit JOIN kinds k ON k.ta = a.id_type AND k.tb = b.id_type AND k.rel = e.rel WHERE a.id <> b.id AND (NOT k.same OR a.file = b.file)) GROUP BY kind""")
+def unit_relations(spark, sf):
+    """R-1..R-14, A20: related pairs within rename units, by kind."""
+    un = renames(spark, sf).select(F.col("commit").alias("unit"), "id", "id_type", "file").distinct()
+    a, b = un.select("unit", F.col("id").alias("src")), un.select("unit", F.col("id").alias("dst"))
+    pick = F.element_at(F.array(*map(F.lit, _RELS)), ((F.col("src") + F.col("dst")) % 13 + 1).cast("int"))
+    edges = a.join(b, "unit").filter("src <> dst").select("src", pick.alias("rel"), "dst").distinct()
+    return graph.related_pairs(un, edges).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("unit").alias("units"))
+
+
+_ABBR_SQL = IDS + """, terms AS (SELECT file, list_sort(list_distinct(list(w2))) AS terms FROM ids GROUP BY file), ab AS (SELECT id, file, substr(w1, 1, 3) AS p, substr(w1, 1, 1) || substr(w1, 3, 1) AS d FROM ids),
+    cand AS (SELECT id, p AS abbr, 'H2' AS heuristic, list_filter(terms, lambda x: starts_with(x, p) AND x <> p) AS fits FROM ab JOIN terms USING (file)
+      UNION ALL SELECT id, d, 'H3', list_filter(terms, lambda x: regexp_matches(x, '^' || substr(d, 1, 1) || '.*' || substr(d, 2, 1)) AND x <> d) FROM ab JOIN terms USING (file)),
+    one AS (SELECT id, abbr, heuristic, unnest(fits) AS expansion FROM cand), best AS (SELECT id, abbr, heuristic, expansion FROM (SELECT *, row_number() OVER (PARTITION BY id, abbr, heuristic ORDER BY length(expansion), expansion) AS k FROM one) WHERE k = 1) """
+
+
+def _abbr(spark, sf) -> DataFrame:
+    i = identifiers(spark, sf)
+    terms = i.groupBy("file").agg(F.array_sort(F.collect_set("w2")).alias("terms"))
+    both = F.explode(F.array(F.struct(F.lit("H2").alias("heuristic"), F.substring("w1", 1, 3).alias("abbr")), F.struct(F.lit("H3").alias("heuristic"), F.concat(F.substring("w1", 1, 1), F.substring("w1", 3, 1)).alias("abbr"))))
+    d = i.select("id", "file", both.alias("c")).select("id", "file", "c.heuristic", "c.abbr").join(terms, "file")
+    found = F.when(F.col("heuristic") == "H2", expand.prefix(F.col("abbr"), F.col("terms"))).otherwise(expand.dropped(F.col("abbr"), F.col("terms")))
+    return d.select("id", "abbr", "heuristic", found.alias("expansion")).filter("expansion is not null").distinct()
+
+
+@_query(_ABBR_SQL + "SELECT DISTINCT id, abbr, heuristic, expansion FROM best")
+def abbr_candidates(spark, sf):
+    """Prefix and dropped-letter candidates among related words."""
+    return _abbr(spark, sf)
+
+
+@_query(_ABBR_SQL + """, v AS (SELECT abbr, expansion, count(*) AS votes, min(heuristic) AS heuristic FROM (SELECT DISTINCT id, abbr, heuristic, expansion FROM best) GROUP BY 1, 2)
+    SELECT abbr, expansion, heuristic, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY abbr ORDER BY votes DESC, length(expansion), expansion) AS k FROM v) WHERE k = 1""")
+def abbr_vote(spark, sf):
+    """The expansion with most votes."""
+    return expand.vote(_abbr(spark, sf), ["abbr"])
+
+
+@_query(IDS + """, t AS (SELECT file, string_agg(substr(w2, 1, 1), '' ORDER BY id) AS letters, list(w2 ORDER BY id) AS terms FROM ids GROUP BY file), a AS (SELECT DISTINCT substr(w1, 1, 1) || substr(w2, 1, 1) AS abbr FROM ids)
+    SELECT file, abbr, terms[instr(letters, abbr)] || '#' || terms[instr(letters, abbr) + 1] AS expansion FROM t CROSS JOIN a WHERE instr(letters, abbr) > 0""")
+def acronym_candidates(spark, sf):
+    """Two-letter acronyms over each file's words in order (24 or so abbreviations and files, joined on nothing but their small distinct sets)."""
+    i = identifiers(spark, sf)
+    item = F.struct("id", "w2")
+    t = i.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["w2"]).alias("terms"))
+    abbrs = i.select(F.concat(F.substring("w1", 1, 1), F.substring("w2", 1, 1)).alias("abbr")).distinct().agg(F.collect_set("abbr").alias("all"))
+    met = t.withColumn("_one", F.lit(1)).join(abbrs.withColumn("_one", F.lit(1)), "_one").select("file", "terms", F.explode("all").alias("abbr"))
+    return met.withColumn("expansion", expand.acronym(F.col("abbr"), F.col("terms"))).filter("expansion is not null").select("file", "abbr", "expansion")
+
+
+_PRIO_SQL = IDS + """, s AS (SELECT id_type, CASE id % 3 WHEN 0 THEN 'siblings' WHEN 1 THEN 'type' ELSE 'comment' END AS rel, CASE WHEN line % 2 = 0 THEN 'H2' ELSE 'H3' END AS heuristic, line % 5 <> 0 AS got, line % 5 <> 0 AND line < 6 AS "right" FROM ids),
+    p AS (SELECT id_type, rel, heuristic, CAST(count(*) AS BIGINT) AS n_total, CAST(count(CASE WHEN got THEN 1 END) AS BIGINT) AS n_got, CAST(count(CASE WHEN "right" AND got THEN 1 END) AS BIGINT) AS n_right FROM s GROUP BY 1, 2, 3),
+    q AS (SELECT *, CASE WHEN n_got = 0 THEN 0.0 ELSE CAST(n_right AS DOUBLE) / n_got END AS "precision" FROM p), z AS (SELECT *, "precision" / (1 + exp(-CAST(n_right AS DOUBLE))) AS metric FROM q) """
+
+
+def _priority(spark, sf) -> DataFrame:
+    i = identifiers(spark, sf)
+    rel = F.when(F.col("id") % 3 == 0, "siblings").when(F.col("id") % 3 == 1, "type").otherwise("comment")
+    got = F.col("line") % 5 != 0
+    return expand.priority(i.select("id_type", rel.alias("rel"), F.when(F.col("line") % 2 == 0, "H2").otherwise("H3").alias("heuristic"), got.alias("got"), (got & (F.col("line") < 6)).alias("right")))
+
+
+@_query(_PRIO_SQL + 'SELECT id_type, rel, heuristic, n_total, n_got, n_right, round("precision", 9) AS "precision", round(metric, 9) AS metric FROM z')
+def priority_table(spark, sf):
+    """Precision and metric of each way to expand."""
+    return _rounded(_priority(spark, sf), ["precision", "metric"])
+
+
+@_query(_PRIO_SQL + "SELECT id_type, id_type || '#' || rel || '_' || heuristic AS label, round(metric, 9) AS metric, CAST(row_number() OVER (PARTITION BY id_type ORDER BY metric DESC, rel, heuristic) AS BIGINT) AS rank FROM z WHERE metric > 0")
+def rank_labels(spark, sf):
+    """Rank labels by falling metric."""
+    return _rounded(expand.rank_labels(_priority(spark, sf)), ["metric"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS "comment" FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'user'),
+    s AS (SELECT c.conv_id, c.turn, c."comment", k.turn AS line FROM c JOIN k ON c.conv_id = k.conv_id AND c.turn = k.turn)
+    SELECT conv_id, turn, length("comment") AS n_letters, line FROM s UNION ALL SELECT c.conv_id, c.turn, length(c."comment"), k.turn FROM c JOIN k ON c.conv_id = k.conv_id AND k.turn = c.turn + 1
+    WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id AND s.turn = c.turn)""")
+def comment_attach(spark, sf):
+    """Comments to the code on their line or the one after (turns of a conversation as lines)."""
+    c = load(spark, sf, "conversations")
+    comments = c.filter("role = 'user'").select(F.col("conv_id").alias("file"), F.col("turn").alias("start"), F.col("turn").alias("stop"), names.comment_letters("text").alias("comment"))
+    code = c.filter("role <> 'user'").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.col("turn").alias("id"))
+    out = graph.attach_comments(comments, code)
+    return out.select(F.col("file").alias("conv_id"), F.col("start").alias("turn"), F.length("comment").cast("long").alias("n_letters"), F.col("id").alias("line"))
+
+
+@_query("""WITH li AS (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem), n AS (SELECT l_orderkey, max(pos) AS arity, count(*) AS rows FROM li GROUP BY 1),
+    a AS (SELECT l_orderkey, list(l_partkey ORDER BY pos, l_partkey) AS args FROM li GROUP BY 1), p AS (SELECT s_suppkey AS method, k AS param_pos, s_suppkey * 100 + k AS param FROM supplier CROSS JOIN (SELECT unnest(range(0, 8)) AS k) WHERE k < s_suppkey % 7 + 1)
+    SELECT x.arg AS src, 'parameterArgument' AS rel, p.param AS dst FROM (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM supplier) + 1 AS method, len(args) AS n_args, unnest(args) AS arg, unnest(range(0, len(args))) AS pos FROM a) x
+      JOIN p ON p.method = x.method AND p.param_pos = x.pos WHERE x.n_args = x.method % 7 + 1
+    GROUP BY 1, 2, 3 UNION ALL SELECT p.param, 'argument', x.arg FROM (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM supplier) + 1 AS method, len(args) AS n_args, unnest(args) AS arg, unnest(range(0, len(args))) AS pos FROM a) x
+      JOIN p ON p.method = x.method AND p.param_pos = x.pos WHERE x.n_args = x.method % 7 + 1 GROUP BY 1, 2, 3""")
+def arg_param_edges(spark, sf):
+    """Arguments of calls met with the parameters of methods of the same arity (orders call suppliers with their parts)."""
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("method"))
+    params = s.select("method", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("method") % 7)).alias("pos", "k")).select("method", (F.col("method") * 100 + F.col("k")).alias("param"), "pos")
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("pos")).distinct()
+    calls = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_partkey"))), lambda x: F.array(x["l_partkey"])).alias("args"))
+    n = s.agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
+    calls = calls.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select(F.col("l_orderkey").alias("call"), (F.col("l_orderkey") % F.col("_n") + 1).alias("method"), F.lit(None).cast("long").alias("invoker"), "args")
+    return graph.invocations(calls, params)
+
+
+@_query(REN + """SELECT "commit", CAST(count(*) AS BIGINT) AS renames, string_agg(old_name || ' -> ' || new_name, ', ' ORDER BY idx, old_name || ' -> ' || new_name) AS description FROM renames GROUP BY 1""")
+def rename_descriptions(spark, sf):
+    """Each commit's renames as text."""
+    return evaluate.description(renames(spark, sf), ["commit"]).select("commit", "renames", "description")
+
+
+@_query(REN + """SELECT "commit", CAST(idx AS BIGINT) AS idx, 'Rename ' || id_type AS kind, file, line, old_name, new_name FROM renames WHERE id_type <> 'MethodName'""")
+def miner_flatten(spark, sf):
+    """Nested miner records filtered, exploded and polished."""
+    from namewright.sources import readers
+
+    r = renames(spark, sf)
+    side = lambda n: F.array(F.struct(F.col("file").alias("filePath"), F.col("line").alias("startLine"), F.concat(F.lit("x : "), F.col(n)).alias("codeElement")))
+    kind = F.when(F.col("id_type") == "MethodName", F.lit("Move Method")).otherwise(F.concat(F.lit("Rename "), F.col("id_type")))
+    one = F.struct(kind.alias("type"), F.col("idx").cast("string").alias("description"), side("old_name").alias("leftSideLocations"), side("new_name").alias("rightSideLocations"))
+    mined = r.groupBy(F.col("commit").cast("string").alias("sha1")).agg(F.collect_list(one).alias("refactorings"))
+    flat = readers.flatten_miner(mined)
+    return flat.select(F.col("commit").cast("long").alias("commit"), F.col("description").cast("long").alias("idx"), F.col("type").alias("kind"), "file", "line", "old_name", "new_name")
+
+
+@_query()
+def word_diff_ops(spark, sf):
+    """D-1: operations of every rename by longest matching blocks (no SQL: checked in the tests against difflib)."""
+    r = renames(spark, sf)
+    out = r.select("commit", "idx", "old_name", "new_name", F.explode(edits.operations(F.col("old_name"), F.col("new_name"))).alias("o"))
+    return out.select("commit", "idx", "old_name", "new_name", "o.op", F.array_join("o.old_words", " ").alias("old_words"), F.array_join("o.new_words", " ").alias("new_words"))
+
+
+@_query()
+def co_rename_modes(spark, sf):
+    """D-12..D-14: siblings' new names after each rename, raw and normalised (no SQL: checked in the tests)."""
+    r = renames(spark, sf).select("file", "line", "id", "old_name", "new_name").distinct()
+    cand = identifiers(spark, sf).select("file", "line", F.col("id").alias("cand"), "name")
+    met = r.join(cand, ["file", "line"]).filter("id <> cand")
+    both = [met.select("id", "new_name", "cand", "name", F.lit(m).alias("mode"), edits.recommended(F.col("old_name"), F.col("new_name"), F.col("name"), m).alias("renamed")) for m in ("relation", "relation_normalize", "all_normalize")]
+    return study.merge_projects(both).filter("renamed is not null")
+
+
+@_query()
+def normalise_words(spark, sf):
+    """Tags, lemmas and inflections of every distinct word of the texts, once each (no SQL: checked in the tests)."""
+    w = load(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(names.comment_letters(F.lower("text")), " "))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    t = w.withColumn("words", F.array("word")).withColumn("tags", lexicon.tags_of("words"))
+    t = t.withColumn("lemmas", lexicon.lemmas_of("words", "tags"))
+    return t.select("word", "n", F.get("tags", F.lit(0)).alias("tag"), F.get("lemmas", F.lit(0)).alias("lemma"), F.get(lexicon.inflections_of("lemmas", "tags"), F.lit(0)).alias("inflected"))

@@ -36,7 +36,8 @@ def test_oracle(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_rows(spark, sf, name):
-    assert not entry.queries()[name](spark, sf).isEmpty()
+    # renames of identifiers that share a place are too few in the smallest tables
+    assert not entry.queries()[name](spark, sf.replace("0.001", "0.01") if name == "co_rename_modes" else sf).isEmpty()
 
 
 def test_word_diff_is_difflibs(spark, sf):

@@ -94,6 +94,29 @@ def mean_metrics(per_trigger: DataFrame, keys: list[str]) -> DataFrame:
     return per_trigger.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in names], *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in names])
 
 
+def metric_table(per_trigger: DataFrame, commit: str, modes: list[str]) -> DataFrame:
+    """One row a commit: means of the four metrics for each mode, side by side (a pivot with known columns)."""
+    names = ["precision", "recall", "fscore", "exact"]
+    return per_trigger.groupBy(commit).pivot("mode", modes).agg(*[F.avg(c).alias(c) for c in names])
+
+
+def integrated(triggers: DataFrame, renames: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Evaluation over a window of commits: (commit, idx, n_gold, n_found, n_hit) for each trigger.
+
+    Gold are the renames within the window (pairs: commit, other) that share an operation with the trigger; a
+    recommendation is true if one of them is of the same identifier. triggers: (commit, idx, op_key);
+    renames: these and KEY; found: (commit, idx) and KEY.
+    """
+    gold = share_operation(triggers, renames.select("commit", "idx", "op_key").distinct(), pairs)
+    keyed = renames.select(F.col("commit").alias("other"), F.col("idx").alias("other_idx"), *KEY).distinct()
+    gold = gold.join(keyed, ["other", "other_idx"]).select("commit", "idx", *KEY).distinct()
+    got = found.select("commit", "idx", *KEY).distinct()
+    both = gold.withColumn("_g", F.lit(1)).join(got.withColumn("_f", F.lit(1)), ["commit", "idx", *KEY], "full")
+    sums = both.groupBy("commit", "idx").agg(F.count("_g").alias("n_gold"), F.count("_f").alias("n_found"), F.count_if(F.col("_g").isNotNull() & F.col("_f").isNotNull()).alias("n_hit"))
+    out = triggers.select("commit", "idx").distinct().join(sums, ["commit", "idx"], "left")
+    return out.na.fill(0, ["n_gold", "n_found", "n_hit"])
+
+
 def scored_somewhere(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with any of these columns above 0."""
     cond = F.lit(False)

@@ -56,6 +56,16 @@ def with_plural(candidates, abbr: Column, terms: Column) -> Column:
     return F.coalesce(candidates(abbr, terms), F.when(bare != abbr, candidates(bare, terms)))
 
 
+def from_comment(abbr: Column, comment: Column) -> Column:
+    """table_side over the words of a comment (letters only, lower case)."""
+    return table_side(abbr, F.split(F.lower(F.trim(F.regexp_replace(comment, "[^A-Za-z]+", " "))), " "))
+
+
+def unless_skipped(word: Column, expansion: Column, heuristic: Column, skip: Column) -> Column:
+    """The expansion, or the word itself where it is on the skip list (array) and no acronym."""
+    return F.when(F.array_contains(skip, word) & (F.coalesce(heuristic, F.lit("")) != "H1"), word).otherwise(F.coalesce(expansion, word))
+
+
 def unknown_words(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Words that need expansion: single letters, and those the dictionary does not have."""
     d = dictionary.select(F.col("word").alias("_known")).distinct()

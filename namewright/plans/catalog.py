@@ -304,6 +304,36 @@ def rank_histogram(spark, sf):
     return evaluate.rank_histogram(met)
 
 
+_WINDOW_SQL = """, pairs AS (SELECT a.o_orderkey AS "commit", b.o_orderkey AS other FROM orders a JOIN orders b ON b.o_orderdate >= a.o_orderdate AND b.o_orderdate < a.o_orderdate + INTERVAL 2 DAY),
+    r AS (SELECT DISTINCT "commit", idx, op_key, line, id_type, old_name AS name, file FROM renames), g AS (SELECT DISTINCT t."commit", t.idx, o.line, o.id_type, o.name, o.file
+      FROM (SELECT DISTINCT "commit", idx, op_key FROM r) t JOIN pairs p ON t."commit" = p."commit" JOIN (SELECT DISTINCT "commit", idx, op_key FROM r) m ON m."commit" = p.other AND m.op_key = t.op_key JOIN r o ON o."commit" = m."commit" AND o.idx = m.idx
+      WHERE NOT (t."commit" = m."commit" AND t.idx = m.idx)),
+    f AS (SELECT DISTINCT "commit", idx + 1 AS idx, line, id_type, old_name AS name, file FROM renames WHERE l_quantity > 20),
+    a AS (SELECT g."commit", g.idx, 1 AS g, 0 AS f, 0 AS b FROM g UNION ALL SELECT f."commit", f.idx, 0, 1, 0 FROM f UNION ALL SELECT f."commit", f.idx, 0, 0, 1 FROM f JOIN g ON f."commit" = g."commit" AND f.idx = g.idx AND f.line = g.line AND f.id_type = g.id_type AND f.name = g.name AND f.file = g.file),
+    per AS (SELECT t."commit", t.idx, coalesce(sum(a.g), 0) AS n_gold, coalesce(sum(a.f), 0) AS n_found, coalesce(sum(a.b), 0) AS n_hit FROM (SELECT DISTINCT "commit", idx FROM r) t LEFT JOIN a ON a."commit" = t."commit" AND a.idx = t.idx GROUP BY 1, 2) """
+
+
+@_query(REN + _WINDOW_SQL + """SELECT CAST(idx AS BIGINT) AS idx, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_found) AS BIGINT) AS n_found, CAST(sum(n_hit) AS BIGINT) AS n_hit,
+    round(CASE WHEN sum(n_found) = 0 THEN 0.0 ELSE CAST(sum(n_hit) AS DOUBLE) / sum(n_found) END, 9) AS "precision", round(CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE CAST(sum(n_hit) AS DOUBLE) / sum(n_gold) END, 9) AS recall FROM per GROUP BY ROLLUP (idx)""")
+def integrated_totals(spark, sf):
+    """C4: evaluation over a window of two days, totals by position in the commit and for all."""
+    r = renames(spark, sf).withColumnRenamed("old_name", "name")
+    one = r.select("commit", "idx", "op_key", *evaluate.KEY)
+    found = r.filter("l_quantity > 20").select("commit", (F.col("idx") + 1).alias("idx"), *evaluate.KEY)
+    per = evaluate.integrated(one.select("commit", "idx", "op_key").distinct(), one, found, evaluate.window_pairs(_commits(spark, sf), 2))
+    return _rounded(evaluate.micro_totals(per.withColumn("idx", F.col("idx").cast("long")), ["idx"]), ["precision", "recall"])
+
+
+@_query(_METRICS_SQL + """SELECT "commit", round("precision", 9) AS relation_precision, round(recall, 9) AS relation_recall, round(fscore, 9) AS relation_fscore, round(exact, 9) AS relation_exact,
+    CAST(NULL AS DOUBLE) AS none_precision, CAST(NULL AS DOUBLE) AS none_recall, CAST(NULL AS DOUBLE) AS none_fscore, CAST(NULL AS DOUBLE) AS none_exact FROM per WHERE n_found > 0""")
+def mode_metrics(spark, sf):
+    """Metrics of the modes side by side; a mode without rows stays NULL."""
+    gold, found = gold_and_found(spark, sf)
+    per = evaluate.trigger_metrics(gold.withColumn("trigger", F.lit(0)), found.withColumns({"trigger": F.lit(0), "mode": F.lit("relation")}), "commit", "trigger", ["mode"])
+    out = evaluate.metric_table(per, "commit", ["relation", "none"])
+    return _rounded(out, [c for c in out.columns if c != "commit"])
+
+
 _ANCHOR_SQL = ', pairs AS (SELECT a.o_orderkey AS "commit", b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_orderdate = b.o_orderdate)'
 
 

@@ -125,3 +125,20 @@ def test_vote_cascade_records(spark):
     assert rows(expand.class_record(cr)) == [("f", "c", "class")]
     uw = spark.createDataFrame([("i", "ab"), ("i", "a"), ("i", "cd")], "id string, word string")
     assert {r.word for r in expand.unknown_words(uw, spark.createDataFrame([("ab",), ("a",)], "word string")).collect()} == {"a", "cd"}
+
+
+def test_comment_and_skips(spark):
+    d = spark.createDataFrame([("ctx", "The Context, of it.", "H3", "context", ["ctx"]), ("sb", "x", "H1", "string#builder", ["sb"]), ("zz", "y", None, None, [])], "a string, c string, h string, e string, s array<string>")
+    r = d.select("a", expand.from_comment(F.col("a"), F.col("c")).alias("x"), expand.unless_skipped(F.col("a"), F.col("e"), F.col("h"), F.col("s")).alias("y")).collect()
+    assert {x.a: (x.x.expansion if x.x else None, x.y) for x in r} == {"ctx": ("context", "ctx"), "sb": (None, "string#builder"), "zz": (None, "zz")}
+
+
+def test_related_pairs(spark):
+    from namewright.operators import study
+
+    units = spark.createDataFrame([("u", "C", "ClassName", "f"), ("u", "m", "MethodName", "f"), ("u", "v", "FieldName", "g"), ("w", "n", "MethodName", "f")], "unit string, id string, id_type string, file string")
+    edges = spark.createDataFrame([("C", "methods", "m"), ("v", "type", "C"), ("C", "methods", "n"), ("C", "fields", "v")], "src string, rel string, dst string")
+    pairs = graph.related_pairs(units, edges)
+    assert rows(pairs) == [("u", "BelongsM", "C", "m"), ("u", "TypeV", "C", "v")]  # the field of another file does not belong
+    n = study.relation_counts(pairs, spark.createDataFrame([("u", "insert"), ("u", "delete")], "unit string, op string"))
+    assert {(r.relation, r.op): r.n for r in n.collect()}[("BelongsM", None)] == 1

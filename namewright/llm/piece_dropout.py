@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Merges of a BPE model are taken from an agenda, best score first, leftmost on ties. Each candidate
-merge is skipped where a keyed hash of (seed, variant, chunk, pair, place) falls below the dropout
+merge is skipped where a keyed hash of (seed, variant, chunk, place, length) falls below the dropout
 rate, so segmentations vary with the seed, and with a chunk's place in its text through one of a few
 variants; every run of the same seed gives the same pieces. Rate 0 gives the model's own segmentation.
 
@@ -17,18 +17,22 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Longest chunk whose agenda is a plain list; longer ones use a heap.
+#: Longest chunk whose agenda is a plain list, or a row of an array; longer ones use a heap.
 SHORT = 24
-CACHE = 200_000
+#: Characters of text that are encoded together (a longer text by itself).
+BLOCK_CHARS = 6 << 20
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -43,7 +47,7 @@ class Pieces:
         self.texts = [m.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.id = {self.texts[i]: i for i in plain}
-        self.score = {self.texts[i]: m.get_score(i) for i in plain}
+        self.rank = {self.texts[i]: -m.get_score(i) for i in plain}  # the best score is the least rank
         self.byte_id = {int(self.texts[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         if len(self.byte_id) != 256:
             raise ValueError("the model needs all byte pieces")
@@ -54,7 +58,14 @@ class Pieces:
             self.raw[i] = self.texts[i].replace(MARK, " ").encode()
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
-        self.width = "<u2" if n <= 1 << 16 else "<u4"
+        #: Symbols of all characters: their pieces, or numbers beyond all pieces.
+        self.char_id = np.arange(0x110000, dtype=np.int32) + n
+        for t, i in self.id.items():
+            if len(t) == 1:
+                self.char_id[ord(t)] = i
+        if sys.byteorder != "little":
+            raise ValueError("ids are written in the machine's order, which must be little-endian")
+        self.width, self.code = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
 
 
 @lru_cache(maxsize=2)
@@ -62,43 +73,48 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _skips(key: bytes, place: int, pair: str, rate: float) -> bool:
-    return rate > 0 and xxhash.xxh3_64_intdigest(key + place.to_bytes(4, "little") + pair.encode()) < rate * 18446744073709551616
+#: Mixing of a candidate's place and length into the chunk's key (64 bits).
+_PLACE, _LENGTH, _FINAL, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFFFFFFFFFFFFFFFF
+NEVER = float("inf")
 
 
-def merge(chunk: str, p: Pieces, rate: float = 0.0, key: bytes = b"") -> tuple[list[str], int]:
-    """Symbols after all merges, and how many candidates were skipped. key seeds the skipping."""
-    score, sym = p.score, list(chunk)
+def skips(key: int, place: int, length: int, limit: int) -> bool:
+    """Whether the candidate of so many characters at place is skipped: a keyed hash below limit (rate * 2**64). Place and length name the pair within its chunk."""
+    x = (key ^ (place * _PLACE) ^ (length * _LENGTH)) & _ALL
+    return ((x ^ (x >> 32)) * _FINAL & _ALL) < limit
+
+
+def merge(chunk: str, p: Pieces, limit: int = 0, key: int = 0) -> tuple[list[str], int]:
+    """Symbols after all merges, and how many candidates were skipped."""
+    rank, sym = p.rank.get, list(chunk)
     skipped = 0
     if len(sym) <= SHORT:
         place = list(range(len(sym)))
-        pairs = [score.get(a + b) for a, b in zip(sym, sym[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(pairs):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return sym, skipped
+        pairs = [rank(a + b, NEVER) for a, b in zip(sym, sym[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best is NEVER:
+                break
+            at = pairs.index(best)  # the leftmost of the best
             pair = sym[at] + sym[at + 1]
-            if _skips(key, place[at], pair, rate):
-                pairs[at] = None
+            if limit and skips(key, place[at], len(pair), limit):
+                pairs[at] = NEVER
                 skipped += 1
                 continue
-            sym[at : at + 2] = [pair]
-            del place[at + 1]
-            del pairs[at]
+            sym[at] = pair
+            del sym[at + 1], place[at + 1], pairs[at]
             if at:
-                pairs[at - 1] = score.get(sym[at - 1] + pair)
+                pairs[at - 1] = rank(sym[at - 1] + pair, NEVER)
             if at < len(pairs):
-                pairs[at] = score.get(pair + sym[at + 1])
+                pairs[at] = rank(pair + sym[at + 1], NEVER)
+        return sym, skipped
     n = len(sym)
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = []
 
     def offer(i: int, j: int) -> None:
-        if i >= 0 and j < n and (s := score.get(sym[i] + sym[j])) is not None:
-            heapq.heappush(agenda, (-s, i, j, sym[i] + sym[j]))
+        if i >= 0 and j < n and (r := rank(sym[i] + sym[j])) is not None:
+            heapq.heappush(agenda, (r, i, j, sym[i] + sym[j]))
 
     for i in range(n - 1):
         offer(i, i + 1)
@@ -106,7 +122,7 @@ def merge(chunk: str, p: Pieces, rate: float = 0.0, key: bytes = b"") -> tuple[l
         _, i, j, pair = heapq.heappop(agenda)
         if sym[i] is None or nxt[i] != j or sym[i] + sym[j] != pair:
             continue
-        if _skips(key, i, pair, rate):
+        if limit and skips(key, i, len(pair), limit):
             skipped += 1
             continue
         sym[i], sym[j] = pair, None
@@ -118,44 +134,217 @@ def merge(chunk: str, p: Pieces, rate: float = 0.0, key: bytes = b"") -> tuple[l
     return [s for s in sym if s is not None], skipped
 
 
-def chunk_ids(chunk: str, p: Pieces, rate: float, key: bytes) -> tuple[bytes, int]:
-    sym, skipped = merge(chunk, p, rate, key)
-    out: list[int] = []
-    for s in sym:
-        i = p.id.get(s)
-        out.extend([i] if i is not None else [p.byte_id[b] for b in s.encode()])
-    return np.array(out, p.width).tobytes(), skipped
+def chunk_ids(chunk: str, p: Pieces, limit: int, key: int) -> tuple[bytes, int]:
+    sym, skipped = merge(chunk, p, limit, key)
+    ids = [p.id.get(s, -1) for s in sym]
+    if -1 in ids:
+        ids = [x for s, i in zip(sym, ids, strict=True) for x in ([i] if i >= 0 else [p.byte_id[b] for b in s.encode()])]
+    return array(p.code, ids).tobytes(), skipped
+
+
+class PairTable:
+    """Merged piece and rank of two pieces, for arrays of pairs: open addressing over all splits of all pieces."""
+
+    def __init__(self, p: Pieces):
+        self.n = len(p.texts)
+        pairs = [(p.id[t[:i]], p.id[t[i:]], m) for t, m in p.id.items() for i in range(1, len(t)) if t[:i] in p.id and t[i:] in p.id]
+        a, b, m = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 3
+        self.bits = max(10, int(len(a) * 4).bit_length())
+        size = 1 << self.bits
+        self.key, self.merged = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        rank = np.full(self.n, np.inf)
+        for t, i in p.id.items():
+            rank[i] = p.rank[t]
+        self.rank = np.append(rank, np.inf)
+        key, at = a << 32 | b, self._home(a, b)
+        todo = np.arange(len(a))
+        while len(todo):  # one entry for each free place and round
+            free = self.key[at[todo]] == -1
+            place, first = np.unique(at[todo][free], return_index=True)
+            done = todo[free][first]
+            self.key[place], self.merged[place] = key[done], m[done]
+            todo = np.setdiff1d(todo, done, assume_unique=True)
+            at[todo] = np.where(self.key[at[todo]] != -1, (at[todo] + 1) & (size - 1), at[todo])
+
+    def _home(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = (a.astype(np.uint64) * np.uint64(_PLACE) ^ b.astype(np.uint64) * np.uint64(_LENGTH)) * np.uint64(_FINAL)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merged pieces, or n where two symbols make none. Symbols of n or more are no pieces."""
+        out = np.full(len(a), self.n, np.int32)
+        todo = np.flatnonzero((a < self.n) & (b < self.n))
+        key, at = a[todo].astype(np.int64) << 32 | b[todo], self._home(a[todo], b[todo])
+        while len(todo):
+            there = self.key[at]
+            hit = there == key
+            out[todo[hit]] = self.merged[at[hit]]
+            on = ~hit & (there != -1)
+            todo, key, at = todo[on], key[on], (at[on] + 1) & (len(self.key) - 1)
+        return out
+
+
+def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """merge() of many chunks of at most SHORT characters at once: every step takes one candidate of each chunk.
+
+    Returns all ids one after the other, each chunk's number of ids, and of skipped candidates.
+    """
+    n = np.array([len(c) for c in chunks])
+    width, rows = int(n.max()), np.arange(len(chunks))
+    flat = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+    sym = np.full((len(chunks), width + 1), -1, np.int32)
+    cols = np.arange(width + 1)
+    sym[cols < n[:, None]] = p.char_id[flat]
+    size = (sym >= 0).astype(np.int16)
+    place = np.broadcast_to(cols.astype(np.int16), sym.shape).copy()
+    none, key = table.n, np.asarray(keys, np.uint64)
+    pair = np.full((len(chunks), width), none, np.int32)
+    inside = cols[:width] < n[:, None] - 1
+    pair[inside] = table.look(sym[:, :-1][inside], sym[:, 1:][inside])
+    rank = table.rank[pair]
+    skipped = np.zeros(len(chunks), np.int64)
+    active = rows
+    while len(active):
+        at = rank[active].argmin(1)
+        on = rank[active, at] < np.inf
+        active, at = active[on], at[on]
+        if not len(active):
+            break
+        length = size[active, at] + size[active, at + 1]
+        if limit:
+            x = key[active] ^ (place[active, at].astype(np.uint64) * np.uint64(_PLACE)) ^ (length.astype(np.uint64) * np.uint64(_LENGTH))
+            gone = ((x ^ (x >> np.uint64(32))) * np.uint64(_FINAL)) < np.uint64(limit)
+            rank[active[gone], at[gone]] = np.inf
+            skipped[active[gone]] += 1
+            w, i, length = active[~gone], at[~gone], length[~gone]
+        else:
+            w, i = active, at
+        if not len(w):
+            continue
+        sym[w, i], size[w, i] = pair[w, i], length
+        # what lies behind the merged pair moves one place to the left
+        src = np.minimum(cols + (cols > i[:, None]), width)
+        src += w[:, None] * (width + 1)
+        for arr in (sym, size, place):
+            arr[w] = arr.reshape(-1)[src]
+        sym[w, n[w] - 1], size[w, n[w] - 1] = -1, 0
+        n[w] -= 1
+        src = np.minimum(cols[:width] + (cols[:width] > i[:, None]), width - 1)
+        src += w[:, None] * width
+        pair[w], rank[w] = pair.reshape(-1)[src], rank.reshape(-1)[src]
+        pair[w, width - 1], rank[w, width - 1] = none, np.inf
+        for ww, ii in ((w[i > 0], i[i > 0] - 1), (w[i < n[w] - 1], i[i < n[w] - 1])):
+            pair[ww, ii] = table.look(sym[ww, ii], sym[ww, ii + 1])
+            rank[ww, ii] = table.rank[pair[ww, ii]]
+        end = w[i >= n[w] - 1], i[i >= n[w] - 1]
+        ok = end[1] < width
+        pair[end[0][ok], end[1][ok]], rank[end[0][ok], end[1][ok]] = none, np.inf
+    flat = sym[cols < n[:, None]]
+    odd = np.flatnonzero(flat >= table.n)
+    if len(odd):  # characters without a piece become bytes
+        owner, parts, at = np.repeat(rows, n), [], 0
+        for i in odd.tolist():
+            raw = [p.byte_id[b] for b in chr(int(flat[i]) - table.n).encode()]
+            parts += [flat[at:i], np.array(raw, np.int32)]
+            n[owner[i]] += len(raw) - 1
+            at = i + 1
+        flat = np.concatenate([*parts, flat[at:]])
+    return flat, n, skipped
+
+
+#: Stands for a space mark that the text itself holds; no chunk has a mark after another character.
+LITERAL = "x" + MARK
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
     def __init__(self, path: str, rate: float, seed: int, variants: int):
-        self.p, self.rate, self.seed, self.variants = load(path), rate, seed, variants
-        self.memo: list[dict[str, tuple[bytes, int]]] = [{} for _ in range(variants)]
+        self.p, self.seed = load(path), seed
+        self.limit, self.table = int(rate * 2**64), PairTable(self.p)
+        self.variants = variants if self.limit else 1
+        self.literal = np.array([self.p.byte_id[b] for b in MARK.encode()], np.int32)
+
+    def keys(self, chunks: list[str], variant: np.ndarray) -> np.ndarray:
+        """The keys of chunks in their variants under the seed."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, chunks), np.uint64, len(chunks))
+        x = h ^ (variant.astype(np.uint64) + np.uint64(1)) * np.uint64(_LENGTH) ^ np.uint64((self.seed + 1) * _PLACE & _ALL)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(_FINAL)
+
+    def segment(self, chunks: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after the other, and each chunk's number of ids and of skipped candidates."""
+        keys, size = self.keys(chunks, variant), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(size, kind="stable")
+        flats, counts, skips_, a = [], [], [], 0
+        while a < len(order):
+            n = size[order[a]]
+            if chunks[order[a]] == LITERAL or n > SHORT:
+                one = order[a]
+                ids, k = (self.literal.tobytes(), 0) if chunks[one] == LITERAL else chunk_ids(chunks[one], self.p, self.limit, int(keys[one]))
+                flat = np.frombuffer(ids, np.int32 if chunks[one] == LITERAL else self.p.width).astype(np.int32)
+                count, k, z = np.array([len(flat)]), np.array([k]), a + 1
+            else:
+                z = min(int(np.searchsorted(size[order], min(max(6, n * 3 // 2), SHORT), "right")), a + 20_000)
+                mine = order[a:z]
+                stop = next((i for i, c in enumerate(mine) if chunks[c] == LITERAL), None) if n <= len(LITERAL) else None
+                if stop is not None:
+                    mine, z = mine[:stop], a + stop
+                flat, count, k = merge_many([chunks[i] for i in mine], keys[mine], self.p, self.table, self.limit)
+            flats.append(flat)
+            counts.append(count)
+            skips_.append(k)
+            a = z
+        flat, count = np.concatenate(flats), np.concatenate(counts)
+        start = np.empty(len(order), np.int64)
+        start[order] = np.cumsum(count) - count
+        n_ids, skipped = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        n_ids[order], skipped[order] = count, np.concatenate(skips_)
+        return _gather(flat, start, n_ids), n_ids, skipped
+
+    def many(self, texts: list[str], doc_ids: list[int]) -> list[tuple[bytes, int]]:
+        """Little-endian ids and the number of skipped merges, for each text. Each different chunk is segmented once for each variant."""
+        chunks: list[str] = []
+        ends, first = [], []
+        for text, doc_id in zip(texts, doc_ids, strict=True):
+            for k, part in enumerate(text.split(MARK)) if text else ():
+                if k:
+                    chunks.append(LITERAL)
+                chunks += _CHUNK.findall(("" if k else MARK) + part.replace(" ", MARK))
+            ends.append(len(chunks))
+            first.append(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}") % self.variants)
+        if not chunks:
+            return [(b"", 0)] * len(texts)
+        ends = np.array(ends)
+        sizes = np.diff(ends, prepend=0)
+        code, different = pd.factorize(np.array(chunks, object))
+        del chunks
+        # chunks take the variants in turn, from one that seed and text choose
+        variant = (np.repeat(np.array(first), sizes) + np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)) % self.variants
+        pair = code * self.variants + variant
+        seen = np.zeros(len(different) * self.variants, bool)
+        seen[pair] = True
+        used = np.flatnonzero(seen)
+        number = np.cumsum(seen) - 1
+        flat, n_ids, skipped = self.segment(different[used // self.variants].tolist(), used % self.variants)
+        at = number[pair]
+        ids = _gather(flat, (np.cumsum(n_ids) - n_ids)[at], n_ids[at]).astype(self.p.width)
+        id_ends, gone = np.cumsum(n_ids[at]), np.cumsum(skipped[at])
+        to = np.where(ends > 0, id_ends[ends - 1], 0)
+        lost = np.where(ends > 0, gone[ends - 1], 0)
+        return [(ids[a:b].tobytes(), int(y - x)) for a, b, x, y in zip([0, *to[:-1]], to, [0, *lost[:-1]], lost, strict=True)]
 
     def __call__(self, text: str, doc_id: int) -> tuple[bytes, int]:
-        """Little-endian ids and the number of skipped merges."""
-        if not text:
-            return b"", 0
-        parts = [text] if MARK not in text else re.split(f"({MARK})", text)
-        out, skipped, memo, n = [], 0, self.memo, 0
-        if sum(map(len, memo)) > CACHE:
-            for m in memo:
-                m.clear()
-        literal = np.array([self.p.byte_id[b] for b in MARK.encode()], self.p.width).tobytes()
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(literal)
-                continue
-            chunks = _CHUNK.findall((MARK if k == 0 else "") + part.replace(" ", MARK))
-            which = np.random.Generator(np.random.PCG64([self.seed, doc_id & (2**63 - 1), n])).integers(0, self.variants, len(chunks)).tolist() if self.rate > 0 and self.variants > 1 else [0] * len(chunks)
-            n += len(chunks)
-            for c, v in zip(chunks, which, strict=True):
-                e = memo[v].get(c)
-                if e is None:
-                    e = memo[v][c] = chunk_ids(c, self.p, self.rate, xxhash.xxh3_128_digest(f"{self.seed}/{v}/{c}".encode()))
-                out.append(e[0])
-                skipped += e[1]
-        return b"".join(out), skipped
+        return self.many([text], [doc_id])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path, rate, seed, variants)
 
 
 def decode_ids(ids: np.ndarray, p: Pieces) -> str:
@@ -168,15 +357,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     import hashlib
 
     def run(batches):
-        enc = Encoder(model, rate, seed, variants)
+        enc = encoder(model, rate, seed, variants)
         wide = np.dtype(enc.p.width).itemsize
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                s = b.slice(a, 256)
-                texts = [x or "" for x in s[1].to_pylist()]
-                got = [enc(x, i or 0) for x, i in zip(texts, s[0].to_pylist(), strict=True)]
+            texts = [x or "" for x in b[1].to_pylist()]
+            ends, held = [], 0
+            for i, x in enumerate(texts):
+                held += len(x)
+                if held > BLOCK_CHARS or i == len(texts) - 1:
+                    ends.append(i + 1)
+                    held = 0
+            for a, z in zip([0, *ends], ends, strict=False):
+                s, part = b.slice(a, z - a), texts[a:z]
+                got = enc.many(part, [i or 0 for i in s[0].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [s[0], pa.array([g[0] for g in got], pa.binary()), pa.array([len(g[0]) // wide for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts])],
+                    [s[0], pa.array([g[0] for g in got], pa.binary()), pa.array([len(g[0]) // wide for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in part])],
                     ["doc_id", "ids", "n_pieces", "n_skipped", "text_sha256"],
                 )
 

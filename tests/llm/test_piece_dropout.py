@@ -39,12 +39,19 @@ def test_many_is_the_plain_way(monkeypatch):
     for rate in (0.0, 0.1, 0.7):
         limit = int(rate * 2**64)
         one = [pd_.chunk_ids(c, p, limit, k) for c, k in zip(chunks, keys, strict=True)]
-        assert pd_.merge_many(chunks, keys, p, table, limit) == one
+        flat, n, skipped = pd_.merge_many(chunks, keys, p, table, limit)
+        parts = np.split(flat.astype(p.width), np.cumsum(n)[:-1])
+        assert [(x.tobytes(), k) for x, k in zip(parts, skipped.tolist(), strict=True)] == one
         monkeypatch.setattr(pd_, "SHORT", 0)  # the heap
         assert [pd_.chunk_ids(c, p, limit, k) for c, k in zip(chunks, keys, strict=True)] == one
         monkeypatch.undo()
 
 
+def test_texts_together_or_alone():
+    e, texts = pd_.Encoder(PATH, 0.3, 1, 4), [r[1] for r in corpus(40)] + ["", "a▁b ▁ c", "▁", "y" * 100, "x▁x"]
+    assert e.many(texts, list(range(len(texts)))) == [e(t, i) for i, t in enumerate(texts)]
+
+
 def test_seeds_vary_and_repeat():
     t = corpus(5)[4][1] * 5
     a, b, c = (pd_.Encoder(PATH, 0.2, s, 4)(t, 1) for s in (1, 1, 2))

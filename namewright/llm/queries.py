@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from namewright.llm import hidden_markov, media, near_dedup, packing, piece_dropout, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from namewright.llm.common import new_path, table
+from namewright.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,7 +41,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(table(spark, sf_dir, "documents")).drop("text_hash")
+    return quality_rules.score(table(spark, sf_dir, "documents")).drop("text_hash", "char_js", "word_js")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +87,3 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namewright.schema import ALLOWED_RELATIONS, ID_TYPES
+from namewright.sources.shared import stored
 
 MOST_SCORE, MOST_FOUND = 11, 50
 
@@ -37,7 +38,7 @@ def ancestors(spark: SparkSession, extends: DataFrame, most_levels: int = 32) ->
         reach = reach.alias("r").join(step.alias("s"), F.col("r.parent") == F.col("s.child")).select(F.col("r.child").alias("child"), F.col("s.parent").alias("parent")).distinct()
         if all_pairs is not None:
             reach = reach.join(all_pairs, ["child", "parent"], "left_anti")
-        reach = reach.checkpoint()
+        reach = stored(reach, "ancestors")
         if reach.isEmpty():
             break
         all_pairs = reach if all_pairs is None else all_pairs.union(reach)
@@ -133,34 +134,31 @@ def best_first(triggers: DataFrame, identifiers: DataFrame, edges: DataFrame, re
     most_score. Steps are positive integers, so the levels are done in order with one join each and a
     visited score is final. recommend(old, new, name) gives the new name column or null.
     Returns (trigger_id, id, new_name, rank), the most_found best of each trigger by (rank, id).
-    Each level is checkpointed, so lineage stays short; nothing is collected but emptiness.
+    Each level is stored, so lineage stays short; nothing is collected but the next level's number.
     """
     ids = identifiers.select("id", "file", "name")
     out_edges = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
     pending = triggers.join(ids, "id", "left_semi").select("trigger_id", "id", F.lit(0).alias("score"))
     names = triggers.select("trigger_id", F.col("id").alias("own"), "old_name", "new_name")
     done = found = None
-    for level in range(most_score):
+    level = 0
+    while level is not None and level < most_score:
         current = pending.filter(F.col("score") == level).select("trigger_id", "id").distinct()
         if done is not None:
             current = current.join(done, ["trigger_id", "id"], "left_anti")
         at = current.join(ids, "id").join(names, "trigger_id")
         at = at.withColumn("recommended", F.when(F.col("id") != F.col("own"), recommend(F.col("old_name"), F.col("new_name"), F.col("name"))))
-        at = at.select("trigger_id", "id", "file", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended").checkpoint()
+        at = stored(at.select("trigger_id", "id", "file", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended"), "search-level")
         hits = at.filter("recommended is not null").select("trigger_id", "id", F.col("recommended").alias("new_name"), F.lit(level).alias("rank"))
         found = hits if found is None else found.unionByName(hits)
         seen = at.select("trigger_id", "id")
         done = seen if done is None else done.union(seen)
-        if level + 1 < most_score:
-            step = at.join(out_edges, "id").join(ids.select(F.col("id").alias("to"), F.col("file").alias("to_file")), "to")
-            score = level + 1 + F.when(F.col("is_trigger") | F.col("recommended").isNotNull(), 0).otherwise(5) + F.when(F.col("file").eqNullSafe(F.col("to_file")), 0).otherwise(1)
-            step = step.select("trigger_id", F.col("to").alias("id"), score.alias("score")).filter(F.col("score") < most_score)
-            pending = pending.filter(F.col("score") > level).unionByName(step).groupBy("trigger_id", "id").agg(F.min("score").alias("score"))
-            pending = pending.join(done, ["trigger_id", "id"], "left_anti").checkpoint()
-            if pending.isEmpty():
-                break
-    from pyspark.sql import Window
-
+        step = at.join(out_edges, "id").join(ids.select(F.col("id").alias("to"), F.col("file").alias("to_file")), "to")
+        score = level + 1 + F.when(F.col("is_trigger") | F.col("recommended").isNotNull(), 0).otherwise(5) + F.when(F.col("file").eqNullSafe(F.col("to_file")), 0).otherwise(1)
+        step = step.select("trigger_id", F.col("to").alias("id"), score.alias("score")).filter(F.col("score") < most_score)
+        pending = pending.filter(F.col("score") > level).unionByName(step).groupBy("trigger_id", "id").agg(F.min("score").alias("score"))
+        pending = stored(pending.join(done, ["trigger_id", "id"], "left_anti"), "search-pending")
+        level = pending.agg(F.min("score")).first()[0]  # levels without candidates are passed over
     w = Window.partitionBy("trigger_id").orderBy("rank", "id")
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most_found).drop("_n")
 

@@ -14,7 +14,6 @@ from namewright.functions import lexicon, names
 from namewright.operators import edits, evaluate, expand, graph, study
 from namewright.plans.identifiers import GOLD_SQL, IDS_SQL, RENAMES_SQL, gold_and_found, identifiers, load, renames
 from namewright.schema import ALLOWED_RELATIONS
-from namewright.sources.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,7 +98,6 @@ def allowed_edges(spark, sf):
     SELECT child AS src, 'ancestor' AS rel, parent AS dst FROM up WHERE depth >= 2 UNION ALL SELECT parent, 'subsubclass', child FROM up WHERE depth >= 2""")
 def ancestors_recursive(spark, sf):
     """Ancestors two levels up or more, both ways."""
-    ready(spark)
     pair = lambda t, a, ca, b, cb: load(spark, sf, t).select(F.concat(F.lit(a), F.col(ca)).alias("child"), F.concat(F.lit(b), F.col(cb)).alias("parent"))
     e = pair("nation", "N", "n_nationkey", "R", "n_regionkey").union(pair("customer", "C", "c_custkey", "N", "c_nationkey")).union(pair("supplier", "S", "s_suppkey", "N", "s_nationkey")).union(pair("orders", "O", "o_orderkey", "C", "o_custkey"))
     return graph.ancestors(spark, e)
@@ -117,7 +115,6 @@ _NEW_NAME_SQL = """CASE c.style WHEN 0 THEN (CASE WHEN c.w1 = t.w1 THEN 'fresh'
     FROM (SELECT trigger_id, id, min(score) AS rank FROM walk WHERE id <> trigger_id GROUP BY trigger_id, id) s JOIN ids t ON s.trigger_id = t.id JOIN ids c ON s.id = c.id WHERE c.w1 = t.w1 OR c.w2 = t.w1) WHERE n <= 50""")
 def best_first_recommend(spark, sf):
     """G1, T5, D-12: best-first recommendation from every identifier at once."""
-    ready(spark)
     i = identifiers(spark, sf)
     ids = i.select("id", "file", "name")
     keys = i.select("id")
@@ -485,12 +482,12 @@ def abbr_vote(spark, sf):
 @_query(IDS + """, t AS (SELECT file, string_agg(substr(w2, 1, 1), '' ORDER BY id) AS letters, list(w2 ORDER BY id) AS terms FROM ids GROUP BY file), a AS (SELECT DISTINCT substr(w1, 1, 1) || substr(w2, 1, 1) AS abbr FROM ids)
     SELECT file, abbr, terms[instr(letters, abbr)] || '#' || terms[instr(letters, abbr) + 1] AS expansion FROM t CROSS JOIN a WHERE instr(letters, abbr) > 0""")
 def acronym_candidates(spark, sf):
-    """Two-letter acronyms over each file's words in order (24 or so abbreviations and files, joined on nothing but their small distinct sets)."""
+    """Two-letter acronyms over each file's words in order (the set of abbreviations, at most 26 * 26, is one broadcast row)."""
     i = identifiers(spark, sf)
     item = F.struct("id", "w2")
     t = i.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["w2"]).alias("terms"))
     abbrs = i.select(F.concat(F.substring("w1", 1, 1), F.substring("w2", 1, 1)).alias("abbr")).distinct().agg(F.collect_set("abbr").alias("all"))
-    met = t.withColumn("_one", F.lit(1)).join(abbrs.withColumn("_one", F.lit(1)), "_one").select("file", "terms", F.explode("all").alias("abbr"))
+    met = t.withColumn("_one", F.lit(1)).join(F.broadcast(abbrs.withColumn("_one", F.lit(1))), "_one").select("file", "terms", F.explode("all").alias("abbr"))
     return met.withColumn("expansion", expand.acronym(F.col("abbr"), F.col("terms"))).filter("expansion is not null").select("file", "abbr", "expansion")
 
 

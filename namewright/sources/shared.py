@@ -1,14 +1,25 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ready(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the session's spark.checkpoint.dir, or a local folder only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="namewright-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder only where none is set."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not getattr(spark, "_own_shared_dir", None):
+            spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="namewright-")
+        d = spark._own_shared_dir
+    return d.rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes df as a table in the shared folder, once, and reads it again."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ import random
 from pyspark.sql import functions as F
 
 from namewright.operators import expand, graph
-from namewright.sources.shared import ready
 
 
 def rows(df):
@@ -25,7 +24,6 @@ def test_builders(spark):
 
 
 def test_ancestors_and_cycles(spark):
-    ready(spark)
     e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D"), ("X", "Y"), ("Y", "X")], "child string, parent string")
     got = {(r.src, r.dst) for r in graph.ancestors(spark, e).filter("rel = 'ancestor'").collect()}
     assert got == {("A", "C"), ("A", "D"), ("B", "D"), ("X", "X"), ("Y", "Y"), ("X", "Y"), ("Y", "X")}
@@ -69,7 +67,6 @@ def heap_model(trigger, nodes, edges, hit):
 
 
 def test_best_first(spark):
-    ready(spark)
     rng = random.Random(3)
     nodes = {i: rng.choice("fg") for i in range(30)}
     pairs = {(a, b) for a in nodes for b in rng.sample(range(30), 3) if a != b}

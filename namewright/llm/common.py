@@ -36,13 +36,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there and lost executors cost nothing before it."""
+def stored(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there and lost executors cost nothing before it.
+
+    The table's path is added to scratch, for callers that drop such tables once their result is stored too.
+    """
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that only a result stored meanwhile was made from."""
+    while scratch:
+        drop_path(spark, scratch.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

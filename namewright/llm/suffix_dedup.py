@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewright.llm.anchors import Rolling, runs
-from namewright.llm.common import stored
+from namewright.llm.common import drop_scratch, stored
 from namewright.llm.suffix_array import repeated_windows
 
 BLOCK_BYTES = 4 << 20
@@ -120,16 +120,17 @@ def count_windows(rows: DataFrame, listed: DataFrame, window: int) -> DataFrame:
     return w.join(often, ["h0", "h1"]).select("u1", "u2", "lo", (F.col("lo") + 1).alias("hi"))
 
 
-def repeated_starts(rows: DataFrame, window: int, gram: int, max_contexts: int) -> DataFrame:
+def repeated_starts(rows: DataFrame, window: int, gram: int, max_contexts: int, scratch: list[str]) -> DataFrame:
     """Intervals (u1, u2, lo, hi) of starts whose window also starts elsewhere."""
-    found = stored(find_runs(rows, window, gram), "suffix-runs")
+    found = stored(find_runs(rows, window, gram), "suffix-runs", scratch)
     kinds = found.groupBy("key", "ctx", "n").agg(F.count("*").alias("m"), F.first("u1").alias("u1"), F.first("u2").alias("u2"), F.first("start").alias("start"), F.first("off").alias("off"))
-    kinds = stored(kinds, "suffix-kinds")
-    buckets = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = stored(kinds, "suffix-kinds", scratch)
+    # stored before it is joined back, so that a hot anchor's rows are split over tasks (skewed join)
+    buckets = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-buckets", scratch)
     copies = found.join(kinds.filter("m > 1").select("key", "ctx", "n"), ["key", "ctx", "n"]).select("u1", "u2", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
     unlike = kinds.join(buckets, "key")
     listed = unlike.groupBy("u1", "u2", (F.col("kinds") > max_contexts).alias("hot")).agg(F.collect_list(F.struct("key", "start", "n", "off", "m")).alias("at"))
-    listed = stored(listed, "suffix-listed")
+    listed = stored(listed, "suffix-listed", scratch)
 
     def cut(batches):
         for b in batches:
@@ -180,8 +181,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     base = docs.drop(*[c for c in docs.columns if c in mine])
     columns, text_field = base.columns, text_col
     keyed = base.withColumns({"_u1": F.xxhash64(F.col(id_col), F.col(text_col)), "_u2": F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col))})
-    starts = repeated_starts(keyed.select(F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), F.col(text_col).alias("text")), window, gram, max_contexts)
+    scratch: list[str] = []
+    starts = repeated_starts(keyed.select(F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), F.col(text_col).alias("text")), window, gram, max_contexts, scratch)
     at = starts.groupBy(F.col("u1").alias("_u1"), F.col("u2").alias("_u2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_at"))
+    at = stored(at, "suffix-intervals")
+    drop_scratch(docs.sparkSession, scratch)
 
     def run(batches):
         for b in batches:

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import drop_path, new_path
+from namewright.llm.common import drop_path, drop_scratch, new_path, stored
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, scratch: list[str]) -> DataFrame:
     """edges (u, v) with u > v. large: each node's larger neighbours move to its least neighbour; small: its smaller ones and itself do."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored before it is joined back: then a hub's edges are split over tasks (skewed join)
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least", scratch)
     met = both.join(least, "u")
     out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") != F.col("v")).distinct()
@@ -27,8 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 100) ->
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     before, path = None, None
     for _ in range(most):
-        now = new_path(spark, "components")
-        _stars(_stars(e, True), False).write.parquet(now)
+        now, scratch = new_path(spark, "components"), []
+        _stars(_stars(e, True, scratch), False, scratch).write.parquet(now)
+        drop_scratch(spark, scratch)
         e = spark.read.parquet(now)
         if path:
             drop_path(spark, path)

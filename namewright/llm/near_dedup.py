@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import stored
+from namewright.llm.common import drop_scratch, stored
 from namewright.llm.components import components
 
 BANDS, ROWS, BATCH = 32, 5, 20
-#: Most rows of a block: members outside the largest component, and all members.
-CHUNKS = (512, 2048)
+#: Most rows of a block on average: members outside the largest component, and all members; most shingles of either.
+CHUNKS = (512, 2048, 4_000_000)
 MISS = 1e-7
 SEED = 7
 
@@ -129,10 +129,8 @@ def survive(pairs: DataFrame, n_hashes: int, percent: int, miss: float) -> DataF
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of (a, b) the pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts = stored(load_words(docs, nodes, ends), "dedup-texts")
 
     def run(batches):
         last, own = None, set()
@@ -164,19 +162,21 @@ def load_words(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
     return found.join(ends, "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def cross_links(rest: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
-    """Likely links between members of different components within the buckets of rest (key, band, digest, root).
+def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str]) -> DataFrame:
+    """Likely links between members of different components within the buckets of rest (key, band, digest, n, root).
 
     In each bucket the members outside its largest component meet all its members. Both sides are dealt
     in chunks, so a bucket of any size is worked through in blocks of at most some CHUNKS rows, and no
-    pair leaves a block but likely links: of each two components the first few. A pair is looked at in its
-    first common band only; it must survive the sequential comparison and the intersection of its whole hashed sets.
+    pair leaves a block but likely links: of each two components the 16 most alike, as one true link joins
+    the two and each is false only by a collision of hashes. A pair is looked at in its first common band only; it must survive the sequential comparison and the intersection of its whole
+    sets, hashed to 32 bits (which can only make it look more alike: confirm() has the last word).
     """
     n_hashes, needed = bands * rows, least_matches(bands * rows, percent / 100, miss, BATCH)
-    counted = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sized = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"))
-    sized = sized.select("key", F.col("main.root").alias("main"), F.ceil(F.greatest(F.lit(1), F.col("size") - F.col("main.n")) / CHUNKS[0]).alias("n_out"), F.ceil(F.col("size") / CHUNKS[1]).alias("n_all"))
-    met = rest.join(sized, "key")
+    counted = rest.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    sized = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("n").alias("n"))
+    chunks = lambda c, most: F.greatest(F.lit(1), F.ceil(c / most), F.ceil(c * F.col("n") / CHUNKS[2]))
+    sized = sized.select("key", F.col("main.root").alias("main"), chunks(F.col("size") - F.col("main.c"), CHUNKS[0]).alias("n_out"), chunks(F.col("size"), CHUNKS[1]).alias("n_all"))
+    met = rest.join(stored(sized, "dedup-sized", scratch), "key")
     place = lambda n, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), n)
     as_all = met.select("key", "band", "digest", "root", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("i"), place(F.col("n_all"), 1).alias("j"))
     as_out = met.filter("root <> main").select("key", "band", "digest", "root", F.lit(True).alias("out"), place(F.col("n_out"), 2).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"))
@@ -185,12 +185,12 @@ def cross_links(rest: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     def shrink(batches):
         memo: dict = {}
         for t in batches:
-            yield pa.RecordBatch.from_arrays([t["digest"], pa.array([hashes(w.split(), k, memo).astype("<u8").tobytes() for w in t["words"].to_pylist()], pa.binary())], ["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([t["digest"], pa.array([np.unique(hashes(w.split(), k, memo).astype("<u4")).tobytes() for w in t["words"].to_pylist()], pa.binary())], ["digest", "shingles"])
             if len(memo) > 300_000:
                 memo.clear()
 
-    sets = load_words(docs, nodes, ends).mapInArrow(shrink, "digest binary, shingles binary").join(nodes.select("digest", "sig"), "digest")
-    entries = as_all.unionByName(as_out).withColumn("block", F.xxhash64("key", "i", "j")).join(stored(sets, "dedup-sets"), "digest")
+    sets = texts.join(ends, "digest", "left_semi").mapInArrow(shrink, "digest binary, shingles binary").join(nodes.select("digest", "sig"), "digest")
+    entries = as_all.unionByName(as_out).withColumn("block", F.xxhash64("key", "i", "j")).join(stored(sets, "dedup-sets", scratch), "digest")
     factors = multipliers(rows)
 
     def solve(block: list) -> list:
@@ -217,10 +217,10 @@ def cross_links(rest: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
         order = np.argsort(-m, kind="stable")
         p, q = p[order], q[order]
         found, taken = [], {}
-        got = [np.frombuffer(r["shingles"], "<u8") for r in everyone]
+        got = [np.frombuffer(r["shingles"], "<u4") for r in everyone]
         size = np.array([len(g) for g in got])
         for i in np.unique(p):
-            mine = np.frombuffer(out[i]["shingles"], "<u8")
+            mine = np.frombuffer(out[i]["shingles"], "<u4")
             js = q[p == i]
             fit = 100 * np.minimum(size[js], len(mine)) >= percent * np.maximum(size[js], len(mine))
             js = js[fit]
@@ -231,7 +231,7 @@ def cross_links(rest: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
                 both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[part])[:-1]]))
                 for j in part[100 * both >= percent * (len(mine) + size[part] - both)]:
                     pair = (min(rx[i], ry[j]), max(rx[i], ry[j]))
-                    if taken.get(pair, 0) < 4:
+                    if taken.get(pair, 0) < 16:
                         taken[pair] = taken.get(pair, 0) + 1
                         found.append((out[i]["digest"], everyone[j]["digest"]))
         return found
@@ -258,28 +258,33 @@ def _pairs(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
-def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str]) -> DataFrame:
     """Confirmed links (a, b) that connect all classes which any chain of links connects.
 
     The hub of a bucket is its member with the most bucket mates over all bands, which is the most central one of a family of copies.
     """
     width = 4 * rows
     keys = F.array(*[F.xxhash64(F.substring("sig", i * width + 1, width), F.lit(i)) for i in range(bands)])
-    entries = nodes.select("digest", F.posexplode(keys).alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    entries = stored(entries.join(shared, "key"), "dedup-buckets")
+    entries = nodes.select("digest", "n", F.posexplode(keys).alias("band", "key"))
+    # the grouped tables are stored before they are joined back: then a hot bucket's rows are split over tasks (skewed join)
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "dedup-shared", scratch)
+    entries = stored(entries.join(shared, "key"), "dedup-buckets", scratch)
+    # from here on only classes that share a bucket; their words come in one pass over the texts
+    mates = entries.select("digest").distinct()
+    nodes = stored(nodes.join(mates, "digest", "left_semi"), "dedup-mates", scratch)
+    texts = stored(load_words(docs, nodes, nodes.select("digest")), "dedup-texts", scratch)
     weight = entries.groupBy("digest").agg(F.sum("size").alias("weight"))
-    hubs = entries.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest")).alias("h")).select("key", F.col("h.digest").alias("hub"))
+    hubs = stored(entries.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest")).alias("h")).select("key", F.col("h.digest").alias("hub")), "dedup-hubs", scratch)
     pairs = hubs.join(entries, "key").select(F.col("hub").alias("a"), F.col("digest").alias("b")).filter(F.col("a") != F.col("b")).distinct()
     side = lambda x: nodes.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    found = stored(confirm(stored(survive(met, bands * rows, percent, miss), "dedup-pairs"), docs, nodes, k, percent), "dedup-links")
+    found = stored(confirm(stored(survive(met, bands * rows, percent, miss), "dedup-pairs", scratch), texts, k, percent), "dedup-links", scratch)
     roots = components(found)
-    rest = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("root", "digest").alias("root"))
-    split = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = stored(rest.join(split, "key"), "dedup-rest")
-    likely = stored(cross_links(rest, docs, nodes, k, percent, bands, rows, miss), "dedup-likely")
-    return found.union(stored(confirm(likely, docs, nodes, k, percent), "dedup-links"))
+    rest = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    split = stored(rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "dedup-split", scratch)
+    rest = stored(rest.join(split, "key"), "dedup-rest", scratch)
+    likely = stored(cross_links(rest, texts, nodes, k, percent, bands, rows, miss, scratch), "dedup-likely", scratch)
+    return found.union(stored(confirm(likely, texts, k, percent), "dedup-links", scratch))
 
 
 def dedup(
@@ -290,10 +295,12 @@ def dedup(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(sign(docs, shingle, bands * rows), "dedup-signed")
     nodes = stored(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig")), "dedup-nodes")
-    roots = components(links(docs, nodes, shingle, percent, bands, rows, miss))
+    scratch: list[str] = []
+    roots = components(links(docs, nodes, shingle, percent, bands, rows, miss, scratch))
+    drop_scratch(docs.sparkSession, scratch)
     labels = nodes.select("digest", "least").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labels.join(least, "root").select("digest", F.col("least").alias("class_id"), "component_id")
+    labels = labels.join(stored(least, "dedup-least"), "root").select("digest", F.col("least").alias("class_id"), "component_id")
     out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
     empty = F.col("digest").isNull()
     out = out.withColumns({"class_id": F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")), "component_id": F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))})

@@ -61,7 +61,7 @@ def family(seed, n, edits):
 
 def test_family_about_the_threshold(spark, monkeypatch):
     check(spark.createDataFrame(family(1, 150, [2, 4, 6, 8, 12]), SCHEMA), 2)
-    monkeypatch.setattr(nd, "CHUNKS", (7, 16))  # many blocks a bucket
+    monkeypatch.setattr(nd, "CHUNKS", (7, 16, 500))  # many blocks a bucket
     check(spark.createDataFrame(family(2, 120, [5, 8, 10]), SCHEMA), 2)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import SPACES, WORD_RE, stored, words
+from namewright.llm.common import WORD_RE, stored, words
 
 #: Common words of each language.
 COMMON_WORDS = {

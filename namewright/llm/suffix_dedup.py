@@ -200,4 +200,5 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             yield _named({c: b[c] for c in columns} | {"n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return keyed.join(at, ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")
+    # intervals grow with the corpus: a merge join at every size, so that small runs show what large ones cost
+    return keyed.join(at.hint("merge"), ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")

@@ -1,9 +1,9 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Merges of a BPE model are taken from an agenda, best score first, leftmost on ties. Each candidate
-merge is skipped where a keyed hash of (seed, variant, chunk, place, length) falls below the dropout
-rate, so segmentations vary with the seed, and with a chunk's place in its text through one of a few
-variants; every run of the same seed gives the same pieces. Rate 0 gives the model's own segmentation.
+merge is skipped where a keyed hash of (seed, document id, the chunk's number in its text, chunk, place, length)
+falls below the dropout rate, so every occurrence of a chunk is drawn on its own; every run of the same seed gives
+the same pieces. Rate 0 gives the model's own segmentation.
 
 Texts are cut into chunks before each space run, as no piece has a space after another character.
 Decoding gives back the text exactly: spaces are the pieces' space marks, a mark that the text itself
@@ -76,6 +76,8 @@ def load(path: str) -> Pieces:
 #: Mixing of a candidate's place and length into the chunk's key (64 bits).
 _PLACE, _LENGTH, _FINAL, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFFFFFFFFFFFFFFFF
 NEVER = float("inf")
+#: What place << 5 | length adds to a key.
+_SALT = np.array([((c >> 5) * _PLACE & _ALL) ^ ((c & 31) * _LENGTH & _ALL) for c in range(SHORT << 5)], np.uint64)
 
 
 def skips(key: int, place: int, length: int, limit: int) -> bool:
@@ -184,10 +186,11 @@ class PairTable:
         return out
 
 
-def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable, limit: int, most: int | None = None, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """merge() of many chunks of at most SHORT characters at once: every step takes one candidate of each chunk.
 
-    Returns all ids one after the other, each chunk's number of ids, and of skipped candidates.
+    Returns all ids one after the other, each chunk's number of ids, and of skipped candidates. With most, no more than that many
+    are skipped for a chunk, and met (chunks by longest chunk, filled with -1) takes the candidates after them in order, as place << 5 | length.
     """
     n = np.array([len(c) for c in chunks])
     width, rows = int(n.max()), np.arange(len(chunks))
@@ -202,7 +205,7 @@ def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable,
     inside = cols[:width] < n[:, None] - 1
     pair[inside] = table.look(sym[:, :-1][inside], sym[:, 1:][inside])
     rank = table.rank[pair]
-    skipped = np.zeros(len(chunks), np.int64)
+    skipped, n_met = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
     active = rows
     while len(active):
         at = rank[active].argmin(1)
@@ -214,6 +217,8 @@ def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable,
         if limit:
             x = key[active] ^ (place[active, at].astype(np.uint64) * np.uint64(_PLACE)) ^ (length.astype(np.uint64) * np.uint64(_LENGTH))
             gone = ((x ^ (x >> np.uint64(32))) * np.uint64(_FINAL)) < np.uint64(limit)
+            if most is not None:
+                gone &= skipped[active] < most
             rank[active[gone], at[gone]] = np.inf
             skipped[active[gone]] += 1
             w, i, length = active[~gone], at[~gone], length[~gone]
@@ -221,6 +226,11 @@ def merge_many(chunks: list[str], keys: np.ndarray, p: Pieces, table: PairTable,
             w, i = active, at
         if not len(w):
             continue
+        if met is not None:
+            late = skipped[w] == most
+            ww, ii = w[late], i[late]
+            met[ww, n_met[ww]] = place[ww, ii] << 5 | length[late]
+            n_met[ww] += 1
         sym[w, i], size[w, i] = pair[w, i], length
         # what lies behind the merged pair moves one place to the left
         src = np.minimum(cols + (cols > i[:, None]), width)
@@ -263,74 +273,126 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
+    """Encodes texts. variants has no effect any more: every occurrence of a chunk has a draw of its own."""
+
+    def __init__(self, path: str, rate: float, seed: int, variants: int = 0):
         self.p, self.seed = load(path), seed
         self.limit, self.table = int(rate * 2**64), PairTable(self.p)
-        self.variants = variants if self.limit else 1
         self.literal = np.array([self.p.byte_id[b] for b in MARK.encode()], np.int32)
 
-    def keys(self, chunks: list[str], variant: np.ndarray) -> np.ndarray:
-        """The keys of chunks in their variants under the seed."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, chunks), np.uint64, len(chunks))
-        x = h ^ (variant.astype(np.uint64) + np.uint64(1)) * np.uint64(_LENGTH) ^ np.uint64((self.seed + 1) * _PLACE & _ALL)
+    def keys(self, chunks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The keys of occurrences, of the hashes of their chunks and documents (with the seed) and their places among the chunks of the text."""
+        x = docs + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(_LENGTH)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(_FINAL)
+        x = (x ^ (x >> np.uint64(32)) ^ chunks) * np.uint64(_PLACE)
         return (x ^ (x >> np.uint64(29))) * np.uint64(_FINAL)
 
-    def segment(self, chunks: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids one after the other, and each chunk's number of ids and of skipped candidates."""
-        keys, size = self.keys(chunks, variant), np.fromiter(map(len, chunks), np.int64, len(chunks))
+    def segment(self, chunks: list[str], keys: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+        """Ids one after the other, each chunk's number of ids and of skipped candidates, all candidates met after the skips and each chunk's number of them.
+
+        No more than the first most skips of a key are made; chunks of over SHORT characters make them all, and list no candidates.
+        """
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(size, kind="stable")
-        flats, counts, skips_, a = [], [], [], 0
+        flats, counts, skips_, paths, lengths, a = [], [], [], [], [], 0
         while a < len(order):
             n = size[order[a]]
             if chunks[order[a]] == LITERAL or n > SHORT:
                 one = order[a]
                 ids, k = (self.literal.tobytes(), 0) if chunks[one] == LITERAL else chunk_ids(chunks[one], self.p, self.limit, int(keys[one]))
                 flat = np.frombuffer(ids, np.int32 if chunks[one] == LITERAL else self.p.width).astype(np.int32)
-                count, k, z = np.array([len(flat)]), np.array([k]), a + 1
+                count, k, z, met = np.array([len(flat)]), np.array([k]), a + 1, np.empty((1, 0), np.int16)
             else:
                 z = min(int(np.searchsorted(size[order], min(max(6, n * 3 // 2), SHORT), "right")), a + 20_000)
                 mine = order[a:z]
                 stop = next((i for i, c in enumerate(mine) if chunks[c] == LITERAL), None) if n <= len(LITERAL) else None
                 if stop is not None:
                     mine, z = mine[:stop], a + stop
-                flat, count, k = merge_many([chunks[i] for i in mine], keys[mine], self.p, self.table, self.limit)
+                met = np.full((len(mine), int(size[mine[-1]])), -1, np.int16)
+                flat, count, k = merge_many([chunks[i] for i in mine], keys[mine], self.p, self.table, self.limit, most, met)
             flats.append(flat)
             counts.append(count)
             skips_.append(k)
+            paths.append(met[met >= 0])
+            lengths.append((met >= 0).sum(1))
             a = z
-        flat, count = np.concatenate(flats), np.concatenate(counts)
-        start = np.empty(len(order), np.int64)
-        start[order] = np.cumsum(count) - count
-        n_ids, skipped = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        n_ids[order], skipped[order] = count, np.concatenate(skips_)
-        return _gather(flat, start, n_ids), n_ids, skipped
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        count, length = np.concatenate(counts), np.concatenate(lengths)
+        return (
+            _gather(np.concatenate(flats), (np.cumsum(count) - count)[back], count[back]), count[back], np.concatenate(skips_)[back],
+            _gather(np.concatenate(paths), (np.cumsum(length) - length)[back], length[back]), length[back],
+        )
+
+    def first_skips(self, keys: np.ndarray, node: np.ndarray, path: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences that skip a candidate on their node's path, and the number of the first such candidate on it."""
+        start, who, which = np.cumsum(length) - length, [], []
+        for a in range(0, len(node), 1 << 17):
+            mine = node[a : a + (1 << 17)]
+            n = length[mine]
+            x = np.repeat(keys[a : a + (1 << 17)], n) ^ _SALT[_gather(path, start[mine], n)]
+            gone = np.flatnonzero(((x ^ (x >> np.uint64(32))) * np.uint64(_FINAL)) < np.uint64(self.limit))
+            ends = np.cumsum(n)
+            owner = np.searchsorted(ends, gone, "right")
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            who.append(a + owner[first])
+            which.append(gone[first] - (ends - n)[owner[first]])
+        return np.concatenate(who), np.concatenate(which)
+
+    def draw(self, different: np.ndarray, code: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each occurrence's node, and the nodes' ids, numbers of ids and of skipped candidates.
+
+        A node is one chunk with one row of skips; its path holds the candidates that come after them. Occurrences begin at their chunk's node
+        without skips and go on by the first candidate of the path that their own key skips, until it skips none; so those that skip the same
+        share the work, and every one gets what its key gives it alone.
+        """
+        own = np.fromiter((self.limit and len(c) > SHORT for c in different), bool, len(different))
+        chunk = np.flatnonzero(~own)
+        at = (np.cumsum(~own) - 1)[code]
+        parts, base, first, depth = [], 0, 0, 0
+        if len(chunk):
+            parts.append(self.segment(different[chunk].tolist(), np.zeros(len(chunk), np.uint64), 0))
+            base = len(chunk)
+        alone = np.flatnonzero(own[code])
+        todo = np.flatnonzero(~own[code]) if self.limit else alone
+        while len(todo):
+            _, _, _, path, length = parts[-1]
+            hit, which = self.first_skips(keys[todo], at[todo] - first, path, length)
+            if not len(hit):
+                break
+            todo, depth = todo[hit], depth + 1
+            new, rep = np.unique((at[todo] - first) << 5 | which, return_index=True)
+            chunk = chunk[new >> 5]
+            at[todo] = base + np.searchsorted(new, (at[todo] - first) << 5 | which)
+            parts.append(self.segment(different[chunk].tolist(), keys[todo[rep]], depth))
+            first, base = base, base + len(new)
+        for a in range(0, len(alone), 20_000):
+            mine = alone[a : a + 20_000]
+            parts.append(self.segment(different[code[mine]].tolist(), keys[mine], 0))
+            at[mine] = base + np.arange(len(mine))
+            base += len(mine)
+        return at, *(np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
 
     def many(self, texts: list[str], doc_ids: list[int]) -> list[tuple[bytes, int]]:
-        """Little-endian ids and the number of skipped merges, for each text. Each different chunk is segmented once for each variant."""
+        """Little-endian ids and the number of skipped merges, for each text."""
         chunks: list[str] = []
-        ends, first = [], []
+        ends, docs = [], []
         for text, doc_id in zip(texts, doc_ids, strict=True):
             for k, part in enumerate(text.split(MARK)) if text else ():
                 if k:
                     chunks.append(LITERAL)
                 chunks += _CHUNK.findall(("" if k else MARK) + part.replace(" ", MARK))
             ends.append(len(chunks))
-            first.append(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}") % self.variants)
+            docs.append(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}"))
         if not chunks:
             return [(b"", 0)] * len(texts)
         ends = np.array(ends)
         sizes = np.diff(ends, prepend=0)
         code, different = pd.factorize(np.array(chunks, object))
         del chunks
-        # chunks take the variants in turn, from one that seed and text choose
-        variant = (np.repeat(np.array(first), sizes) + np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)) % self.variants
-        pair = code * self.variants + variant
-        seen = np.zeros(len(different) * self.variants, bool)
-        seen[pair] = True
-        used = np.flatnonzero(seen)
-        number = np.cumsum(seen) - 1
-        flat, n_ids, skipped = self.segment(different[used // self.variants].tolist(), used % self.variants)
-        at = number[pair]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+        places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        at, flat, n_ids, skipped = self.draw(different, code, self.keys(hashes[code], np.repeat(np.array(docs, np.uint64), sizes), places))
         ids = _gather(flat, (np.cumsum(n_ids) - n_ids)[at], n_ids[at]).astype(self.p.width)
         id_ends, gone = np.cumsum(n_ids[at]), np.cumsum(skipped[at])
         to = np.where(ends > 0, id_ends[ends - 1], 0)
@@ -342,9 +404,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, rate, seed, variants)
+    return Encoder(path, rate, seed)
 
 
 def decode_ids(ids: np.ndarray, p: Pieces) -> str:
@@ -352,12 +414,12 @@ def decode_ids(ids: np.ndarray, p: Pieces) -> str:
     return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, ids (binary, 16 or 32 bits little-endian), n_pieces, n_skipped, text_sha256 (of what was encoded)."""
     import hashlib
 
     def run(batches):
-        enc = encoder(model, rate, seed, variants)
+        enc = encoder(model, rate, seed)
         wide = np.dtype(enc.p.width).itemsize
         for b in batches:
             texts = [x or "" for x in b[1].to_pylist()]

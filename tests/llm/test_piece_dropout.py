@@ -58,6 +58,25 @@ def test_seeds_vary_and_repeat():
     assert a == b and a[0] != c[0] and a[1] > 0
 
 
+def test_every_occurrence_is_drawn():
+    e, p = pd_.Encoder(PATH, 0.1, 1), pd_.load(PATH)
+    texts = [r[1] for r in corpus(40)] + ["y" * 60 + " the " * 300 + "x▁x"] * 3
+    got = e.many(texts, list(range(len(texts))))
+    for (ids, skipped), text, doc_id in zip(got, texts, range(len(texts)), strict=True):  # what each key gives alone
+        parts = [c for k, x in enumerate(text.split("▁")) for c in ([None] if k else []) + pd_._CHUNK.findall(("" if k else "▁") + x.replace(" ", "▁"))]
+        chunks = np.array([pd_.xxhash.xxh3_64_intdigest(c or pd_.LITERAL) for c in parts], np.uint64)
+        keys = e.keys(chunks, np.full(len(parts), pd_.xxhash.xxh3_64_intdigest(f"1/{doc_id}"), np.uint64), np.arange(len(parts)))
+        one = [(e.literal.astype(p.width).tobytes(), 0) if c is None else pd_.chunk_ids(c, p, e.limit, int(k)) for c, k in zip(parts, keys, strict=True)]
+        assert (ids, skipped) == (b"".join(x for x, _ in one), sum(k for _, k in one))
+    # copies under other ids have segmentations of their own, and a word of one text is skipped at about the rate
+    text = "the stone of the river is quiet in the harbor and the lantern"
+    assert len({ids for ids, _ in e.many([text] * 300, list(range(300)))}) > 100
+    for word in ("▁x", "▁of"):
+        limit = len(pd_.merge(word, p)[0]) < len(word)
+        ids, skipped = e(word[1:] + (" " + word[1:]) * 9999, 7)
+        assert not limit or 850 < skipped < 1150 * (len(word) - 1)
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing", "none"])
 def test_query(request, name):
     d = request.getfixturevalue(name)

@@ -3,7 +3,8 @@
 Text bytes are taken as the samples of an 8-bit mono WAV (the wave module writes and reads it), so the
 payload is kept byte for byte. Spectra come from Hann-windowed frames; the strongest bin of each of a
 few bands is a peak; pairs of a peak and a peak some frames later give time-coded fingerprints
-(time of the first peak << 32 | first bin << 20 | second bin << 8 | frames between).
+(time of the first peak << 32 | first bin << 20 | second bin << 8 | frames between). Payloads with fewer
+frames than the lags need (under 1,280 bytes) are centred in silence first, so every text has pairs at all lags.
 
 Defined results: a null text is empty and becomes one padded block; equal payloads have equal values;
 repeated rows stay; a null doc_id stays null; an empty table gives an empty result; further columns
@@ -68,9 +69,15 @@ def peaks(samples: bytes) -> np.ndarray:
     return np.concatenate([np.stack([lo + np.argmax(np.round(s[:, lo:hi], 2), axis=1) for lo, hi in zip(BANDS, BANDS[1:], strict=False)], axis=1) for _, s in stft(samples)]).astype(np.int64)
 
 
+def centred(samples: bytes) -> bytes:
+    """Samples too short for all lags, with the middle value 128 on both sides, so that they lie where the windows are wide."""
+    short = max(0, FRAME + max(LAGS) * HOP - len(samples))
+    return b"\x80" * (short // 2) + samples + b"\x80" * (short - short // 2)
+
+
 def fingerprints(samples: bytes) -> np.ndarray:
     """Time-coded pairs of peaks, in order of time: a peak and the same and the next band's peak some frames later."""
-    p = peaks(samples)
+    p = peaks(centred(samples))
     out = []
     for lag in LAGS:
         if len(p) > lag:

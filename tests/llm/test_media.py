@@ -53,6 +53,13 @@ def test_blocks_do_not_show(monkeypatch):
     assert (media.fingerprints(x) == whole).all()
 
 
+def test_short_texts_have_fingerprints():
+    texts = ["", "one", "two words", "Hello", "world", "the quiet river", "a lantern in the harbor", "x" * 150, "stone " * 60, "ember " * 100, "cloud " * 180]
+    prints = [media.fingerprints(media.pad(t.encode())) for t in texts]
+    assert all(set(x & 255) == set(media.LAGS) for x in prints)
+    assert len({x.tobytes() for x in prints}) == len(texts)
+
+
 def test_a_tone_is_found():
     t = np.arange(4096)
     x = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME)).astype(np.uint8).tobytes()

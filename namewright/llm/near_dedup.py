@@ -167,9 +167,9 @@ def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, per
 
     In each bucket the members outside its largest component meet all its members. Both sides are dealt
     in chunks, so a bucket of any size is worked through in blocks of at most some CHUNKS rows, and no
-    pair leaves a block but likely links: of each two components the 16 most alike, as one true link joins
+    pair leaves a block but likely links: of each two components the first 16 found, as one true link joins
     the two and each is false only by a collision of hashes. A pair is looked at in its first common band only; it must survive the sequential comparison and the intersection of its whole
-    sets, hashed to 32 bits (which can only make it look more alike: confirm() has the last word).
+    sets, hashed to 64 bits: 100,000 shingles have a collision with a probability of about 3e-10. confirm() has the last word.
     """
     n_hashes, needed = bands * rows, least_matches(bands * rows, percent / 100, miss, BATCH)
     counted = rest.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("n").alias("n"))
@@ -185,7 +185,7 @@ def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, per
     def shrink(batches):
         memo: dict = {}
         for t in batches:
-            yield pa.RecordBatch.from_arrays([t["digest"], pa.array([np.unique(hashes(w.split(), k, memo).astype("<u4")).tobytes() for w in t["words"].to_pylist()], pa.binary())], ["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([t["digest"], pa.array([hashes(w.split(), k, memo).astype("<u8").tobytes() for w in t["words"].to_pylist()], pa.binary())], ["digest", "shingles"])
             if len(memo) > 300_000:
                 memo.clear()
 
@@ -217,10 +217,10 @@ def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, per
         order = np.argsort(-m, kind="stable")
         p, q = p[order], q[order]
         found, taken = [], {}
-        got = [np.frombuffer(r["shingles"], "<u4") for r in everyone]
+        got = [np.frombuffer(r["shingles"], "<u8") for r in everyone]
         size = np.array([len(g) for g in got])
         for i in np.unique(p):
-            mine = np.frombuffer(out[i]["shingles"], "<u4")
+            mine = np.frombuffer(out[i]["shingles"], "<u8")
             js = q[p == i]
             fit = 100 * np.minimum(size[js], len(mine)) >= percent * np.maximum(size[js], len(mine))
             js = js[fit]

@@ -12,6 +12,22 @@ from namewright.llm.components import components
 from tests.llm.conftest import SCHEMA, sentence
 
 
+def test_cross_links_keep_shingles_apart(spark):
+    """A pair of exactly 0.8 whose shared shingles hold two with equal low halves of their hashes."""
+    words = [f"w{i}".encode() for i in range(300_000)]
+    low = nd._mix(np.fromiter((nd.xxhash.xxh3_64_intdigest(w, nd.SEED) for w in words), np.uint64, len(words))).astype("<u4")
+    order = np.argsort(low, kind="stable")
+    i = np.flatnonzero(np.diff(low[order].astype(np.int64)) == 0)[0]
+    alike = [words[order[i]].decode(), words[order[i + 1]].decode()]
+    shared = alike + [f"shared{i}" for i in range(78)]
+    docs = spark.createDataFrame([(1, " ".join(shared + [f"a{i}" for i in range(10)])), (2, " ".join(shared + [f"b{i}" for i in range(10)]))], "doc_id long, text string")
+    nodes = nd.sign(docs, 1, nd.BANDS * nd.ROWS).selectExpr("digest", "doc_id AS least", "n", "sig")
+    rest = nodes.selectExpr("1L AS key", "0 AS band", "digest", "n", "digest AS root")
+    texts = nd.load_words(docs, nodes, nodes.select("digest"))
+    likely = nd.cross_links(rest, texts, nodes, 1, 80, nd.BANDS, nd.ROWS, nd.MISS, [])
+    assert likely.count() == 1 and nd.confirm(likely, texts, 1, 80).count() == 1
+
+
 def brute(rows, k, percent=80):
     sets = [nd.shingles(nd.word_list(t), k) for _, t in rows]
     at, root = defaultdict(list), list(range(len(rows)))

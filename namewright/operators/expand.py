@@ -25,40 +25,60 @@ def _shortest(terms: Column, fits) -> Column:
     return F.get(best, F.lit(0))["term"]
 
 
-def prefix(abbr: Column, terms: Column) -> Column:
-    """The shortest (then first by letters) longer term that abbr begins."""
-    return _shortest(terms, lambda x: x.startswith(abbr) & (x != abbr))
+def prefix(abbr: Column, terms: Column, known: Column | None = None) -> Column:
+    """The shortest (then first by letters) longer term that abbr begins; of known terms only, where known (an array) is given."""
+    return _shortest(terms, lambda x: x.startswith(abbr) & (x != abbr) & _in(known, x))
 
 
-def dropped(abbr: Column, terms: Column) -> Column:
-    """The shortest longer term of which abbr (two letters or more) is a subsequence with the same first letter."""
-    return F.when(F.length(abbr) >= 2, _shortest(terms, lambda x: subsequence(x, abbr) & (x != abbr)))
+def dropped(abbr: Column, terms: Column, known: Column | None = None) -> Column:
+    """The shortest longer term of which abbr (two letters or more) is a subsequence with the same first letter; known as in prefix()."""
+    return F.when(F.length(abbr) >= 2, _shortest(terms, lambda x: subsequence(x, abbr) & (x != abbr) & _in(known, x)))
 
 
-def table_side(abbr: Column, terms: Column) -> Column:
-    """H1, else H2, else H3 over terms, as a struct (heuristic, expansion); null if none applies."""
-    h1, h2, h3 = acronym(abbr, terms), prefix(abbr, terms), dropped(abbr, terms)
-    pick = lambda h, e: F.struct(F.lit(h).alias("heuristic"), e.alias("expansion"))
-    return F.when(h1.isNotNull(), pick("H1", h1)).when(h2.isNotNull(), pick("H2", h2)).when(h3.isNotNull(), pick("H3", h3))
+def _in(known: Column | None, x: Column) -> Column:
+    return F.lit(True) if known is None else F.array_contains(known, x)
+
+
+def _picked(h: str, e: Column) -> Column:
+    return F.struct(F.lit(h).alias("heuristic"), e.alias("expansion"))
+
+
+def table_side(abbr: Column, terms: Column, known: Column | None = None) -> Column:
+    """H1, else H2, else H3 over terms, as a struct (heuristic, expansion); null if none applies. known: the dictionary words among terms, as an array."""
+    h1, h2, h3 = acronym(abbr, terms, known), prefix(abbr, terms, known), dropped(abbr, terms, known)
+    return F.when(h1.isNotNull(), _picked("H1", h1)).when(h2.isNotNull(), _picked("H2", h2)).when(h3.isNotNull(), _picked("H3", h3))
 
 
 def trigger_side(abbr: Column, terms: Column) -> Column:
-    """As table_side, but the last term by letters wins among prefixes and subsequences, and no dictionary is asked."""
-    last = lambda fits: F.array_max(F.filter(terms, fits))
-    h1, h2, h3 = acronym(abbr, terms), last(lambda x: x.startswith(abbr)), last(lambda x: subsequence(x, abbr))
-    pick = lambda h, e: F.struct(F.lit(h).alias("heuristic"), e.alias("expansion"))
-    return F.when(h1.isNotNull(), pick("H1", h1)).when(h2.isNotNull(), pick("H2", h2)).when(h3.isNotNull(), pick("H3", h3))
+    """As table_side, but the last prefix by letters and the first subsequence by place win, and no dictionary is asked."""
+    h1, h2 = acronym(abbr, terms), F.array_max(F.filter(terms, lambda x: x.startswith(abbr)))
+    h3 = F.get(F.filter(terms, lambda x: subsequence(x, abbr)), F.lit(0))
+    return F.when(h1.isNotNull(), _picked("H1", h1)).when(h2.isNotNull(), _picked("H2", h2)).when(h3.isNotNull(), _picked("H3", h3))
 
 
-def with_plural(candidates, abbr: Column, terms: Column) -> Column:
-    """candidates(abbr, terms), and where that is null and abbr ends in s, the same without it."""
+def with_plural(candidates, abbr: Column, terms: Column, known: Column | None = None) -> Column:
+    """candidates(abbr, terms, known), and where that is null and abbr ends in s, the same without it."""
     bare = F.regexp_replace(abbr, "(?<=.)s$", "")
-    return F.coalesce(candidates(abbr, terms), F.when(bare != abbr, candidates(bare, terms)))
+    more = () if known is None else (known,)
+    return F.coalesce(candidates(abbr, terms, *more), F.when(bare != abbr, candidates(bare, terms, *more)))
+
 
+def known_terms(df: DataFrame, keys: list[str], terms: str, dictionary: DataFrame) -> DataFrame:
+    """df with a column known: those of its terms (an array) that are dictionary words (word) of two letters or more. keys tell the rows apart."""
+    each = df.select(*keys, F.explode(F.array_distinct(terms)).alias("word")).filter(F.length("word") > 1)
+    found = each.join(dictionary.select("word").distinct(), "word", "left_semi").groupBy(*keys).agg(F.collect_set("word").alias("known"))
+    return df.join(found, keys, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
-def from_comment(abbr: Column, comment: Column) -> Column:
-    """table_side over the words of a comment (letters only, lower case)."""
-    return table_side(abbr, F.split(F.lower(F.trim(F.regexp_replace(comment, "[^A-Za-z]+", " "))), " "))
+
+def comment_words(comment: Column) -> Column:
+    """The words of a comment: letters only, lower case."""
+    return F.split(F.lower(F.trim(F.regexp_replace(comment, "[^A-Za-z]+", " "))), " ")
+
+
+def from_comment(abbr: Column, comment: Column, known: Column | None = None) -> Column:
+    """table_side over the words of a comment; with known (an array) an acronym is looked for among the dictionary words alone."""
+    w = comment_words(comment)
+    return table_side(abbr, w if known is None else F.filter(w, lambda x: F.array_contains(known, x)), known)
 
 
 def unless_skipped(word: Column, expansion: Column, heuristic: Column, skip: Column) -> Column:
@@ -72,11 +92,13 @@ def unknown_words(words: DataFrame, dictionary: DataFrame, word: str = "word") -
     return words.join(d, (F.col(word) == F.col("_known")) & (F.length(word) > 1), "left_anti")
 
 
-def candidates(unknown: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, word, rel, heuristic, expansion): expansions of each unknown word (id, word) from the words of related names (id, words)."""
-    related = edges.join(names.select(F.col("id").alias("dst"), F.col("words").alias("terms")), "dst")
-    met = unknown.join(related, unknown["id"] == related["src"]).select("id", "word", "rel", "terms")
-    return met.withColumn("c", with_plural(table_side, F.col("word"), F.col("terms"))).filter("c is not null").select("id", "word", "rel", "c.heuristic", "c.expansion")
+def candidates(unknown: DataFrame, edges: DataFrame, names: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, word, rel, heuristic, expansion): expansions of each unknown word (id, word) from the words of related names (id, words); from their dictionary words alone, where one is given."""
+    n = names.select("id", "words") if dictionary is None else known_terms(names.select("id", "words"), ["id"], "words", dictionary)
+    related = edges.join(n.withColumnRenamed("id", "dst"), "dst")
+    met = unknown.join(related, unknown["id"] == related["src"])
+    c = with_plural(table_side, F.col("word"), F.col("words"), None if dictionary is None else F.col("known"))
+    return met.withColumn("c", c).filter("c is not null").select("id", "word", "rel", "c.heuristic", "c.expansion")
 
 
 def vote(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,6 +137,42 @@ def cascade(word: Column, in_dictionary: Column, old_expansion: Column, class_ma
     return F.when(in_dictionary | F.array_contains(old_expansion, word), word).otherwise(F.coalesce(guess, F.try_element_at(class_map, word), F.try_element_at(project_map, word), F.try_element_at(abbr_map, word), word))
 
 
+def coded(heuristic: Column, expansion: Column) -> Column:
+    """heuristic:words, the words joined by #: an expansion as expansion_maps() holds it."""
+    return F.concat(heuristic, F.lit(":"), expansion)
+
+
+def expansion_maps(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, expansions): a name's expansions as a map from word to heuristic:words, from (keys, word, expansion, heuristic). Words that stand for themselves are left out."""
+    one = found.filter((F.col("heuristic") != "ST") & F.col("expansion").isNotNull()).groupBy(*keys, "word").agg(F.min(coded(F.col("heuristic"), F.col("expansion"))).alias("e"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "e"))).alias("expansions"))
+
+
+def trigger_expansions(
+    triggers: DataFrame, key: str, dictionary: DataFrame, class_records: DataFrame, records: DataFrame, abbreviations: DataFrame, skip: DataFrame,
+) -> DataFrame:
+    """(key, word, heuristic, expansion) of the words of triggers' new names.
+
+    triggers: (key, file, words array, old_expansion array). A dictionary word or one of the old expansion stands
+    for itself; else the heuristics look in the old expansion, or else in the words of the class's record, of the project's
+    record (the last by letters) or of the list of abbreviations (the last), whichever comes first. An abbreviation
+    of the skip list stands for itself unless it is an acronym. dictionary: (word); class_records: (file, abbr,
+    expansion); records, abbreviations: (abbr, expansion); skip: (abbr). All are joined; none is broadcast by force.
+    """
+    w = triggers.select(key, "file", "old_expansion", F.explode(F.array_distinct("words")).alias("word"))
+    last = lambda d, c, *by: d.groupBy(*by, F.col("abbr").alias("word")).agg(F.max("expansion").alias(c))
+    w = w.join(dictionary.select("word").distinct().withColumn("_known", F.lit(True)), "word", "left").join(last(class_records, "_class", "file"), ["file", "word"], "left")
+    w = w.join(last(records, "_project"), "word", "left").join(last(abbreviations, "_list"), "word", "left").join(skip.select(F.col("abbr").alias("word")).distinct().withColumn("_skip", F.lit(True)), "word", "left")
+    word, parts = F.col("word"), lambda c: F.split(c, "[ #]")
+    own = F.coalesce("_known", F.lit(False)) | F.array_contains("old_expansion", word)
+    from_old = trigger_side(word, F.col("old_expansion"))
+    from_record = F.when(F.col("_class").isNotNull(), trigger_side(word, parts("_class"))).when(F.col("_project").isNotNull(), trigger_side(word, F.array("_project"))).when(F.col("_list").isNotNull(), trigger_side(word, parts("_list")))
+    got = F.when(~own, F.coalesce(from_old, from_record))
+    w = w.withColumn("g", got)
+    keeps = F.col("g").isNull() | (F.coalesce("_skip", F.lit(False)) & (F.col("g.heuristic") != "H1"))
+    return w.select(key, "word", F.when(keeps, "ST").otherwise(F.col("g.heuristic")).alias("heuristic"), F.when(keeps, word).otherwise(F.col("g.expansion")).alias("expansion"))
+
+
 def priority(scored: DataFrame) -> DataFrame:
     """From (id_type, rel, heuristic, right, got): counts for each kind, precision = right / got and metric = precision * sigmoid(right)."""
     got, right = F.count_if("got"), F.count_if(F.col("right") & F.col("got"))
@@ -123,6 +181,11 @@ def priority(scored: DataFrame) -> DataFrame:
     return out.withColumn("metric", F.col("precision") * sigmoid(F.col("n_right").cast("double")))
 
 
+def dictionary_priority(scored: DataFrame) -> DataFrame:
+    """The same for sources that are lists of abbreviations: (id_type, source, right, got) to rows whose rel is the source and whose heuristic is empty."""
+    return priority(scored.select("id_type", F.col("source").alias("rel"), F.lit("").alias("heuristic"), "right", "got"))
+
+
 def rank_labels(prioritised: DataFrame) -> DataFrame:
     """Rank of each label type#relation_heuristic by falling metric within its type; metric 0 is left out."""
     w = Window.partitionBy("id_type").orderBy(F.desc("metric"), "rel", "heuristic")

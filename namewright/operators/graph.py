@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namewright.schema import ALLOWED_RELATIONS, ID_TYPES
-from namewright.sources.shared import stored
+from namewright.sources.shared import drop, stored
 
 MOST_SCORE, MOST_FOUND = 11, 50
 
@@ -30,20 +30,27 @@ def hierarchy(extends: DataFrame) -> DataFrame:
     return both_ways(extends, "child", "parents", "parent", "subclass")
 
 
-def ancestors(spark: SparkSession, extends: DataFrame, most_levels: int = 32) -> DataFrame:
-    """Ancestor and subsubclass edges: everything two levels up or more. A cycle ends at most_levels, and no pair comes twice."""
-    step = extends.select("child", "parent").distinct()
-    reach, all_pairs = step, None
-    for _ in range(most_levels - 1):
-        reach = reach.alias("r").join(step.alias("s"), F.col("r.parent") == F.col("s.child")).select(F.col("r.child").alias("child"), F.col("s.parent").alias("parent")).distinct()
-        if all_pairs is not None:
-            reach = reach.join(all_pairs, ["child", "parent"], "left_anti")
-        reach = stored(reach, "ancestors")
-        if reach.isEmpty():
-            break
-        all_pairs = reach if all_pairs is None else all_pairs.union(reach)
-    out = all_pairs if all_pairs is not None else step.limit(0)
-    return both_ways(out, "child", "ancestor", "parent", "subsubclass")
+def ancestors(spark: SparkSession, extends: DataFrame) -> DataFrame:
+    """Ancestor and subsubclass edges: everything two levels up or more, however many levels there are. No pair comes twice, so cycles end.
+
+    Each round squares the reach: pairs of up to twice as many levels come from one join, so a chain of n
+    levels takes log n rounds.
+    """
+    first: list[str] = []
+    direct = stored(extends.select("child", "parent").distinct(), "ancestors", first)
+    far = direct.alias("a").join(direct.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent")).distinct()
+    scratch: list[str] = []
+    far, n = stored(far, "ancestors", scratch), -1
+    while (now := far.count()) != n:
+        n = now
+        reach = direct.union(far).distinct()
+        more = far.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"))
+        before = scratch[:]
+        scratch.clear()
+        far = stored(far.union(more).distinct(), "ancestors", scratch)
+        drop(spark, before)
+    drop(spark, first)
+    return both_ways(far, "child", "ancestor", "parent", "subsubclass")
 
 
 def members(owned: DataFrame, rel: str) -> DataFrame:
@@ -138,29 +145,34 @@ def best_first(triggers: DataFrame, identifiers: DataFrame, edges: DataFrame, re
     """
     ids = identifiers.select("id", "file", "name")
     out_edges = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
-    pending = triggers.join(ids, "id", "left_semi").select("trigger_id", "id", F.lit(0).alias("score"))
     names = triggers.select("trigger_id", F.col("id").alias("own"), "old_name", "new_name")
-    done = found = None
+    # pending holds a row for each (trigger, identifier) met so far: score falls until it is visited, and visited rows stay to shut out later ones
+    pending = triggers.join(ids, "id", "left_semi").select("trigger_id", "id", F.lit(0).alias("score"), F.lit(False).alias("visited"))
+    found, levels, scratch = None, [], []
     level = 0
     while level is not None and level < most_score:
-        current = pending.filter(F.col("score") == level).select("trigger_id", "id").distinct()
-        if done is not None:
-            current = current.join(done, ["trigger_id", "id"], "left_anti")
+        current = pending.filter((F.col("score") == level) & ~F.col("visited")).select("trigger_id", "id").distinct()
         at = current.join(ids, "id").join(names, "trigger_id")
-        at = at.withColumn("recommended", F.when(F.col("id") != F.col("own"), recommend(F.col("old_name"), F.col("new_name"), F.col("name"))))
-        at = stored(at.select("trigger_id", "id", "file", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended"), "search-level")
+        # what a rename does to a name is worked out once for each different (old, new, name), not for each visit
+        asked = at.filter(F.col("id") != F.col("own")).select("old_name", "new_name", "name").distinct()
+        answers = asked.withColumn("recommended", recommend(F.col("old_name"), F.col("new_name"), F.col("name")))
+        at = at.join(answers, ["old_name", "new_name", "name"], "left").withColumn("recommended", F.when(F.col("id") != F.col("own"), F.col("recommended")))
+        at = stored(at.select("trigger_id", "id", "file", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended"), "search-level", levels)
         hits = at.filter("recommended is not null").select("trigger_id", "id", F.col("recommended").alias("new_name"), F.lit(level).alias("rank"))
         found = hits if found is None else found.unionByName(hits)
-        seen = at.select("trigger_id", "id")
-        done = seen if done is None else done.union(seen)
         step = at.join(out_edges, "id").join(ids.select(F.col("id").alias("to"), F.col("file").alias("to_file")), "to")
         score = level + 1 + F.when(F.col("is_trigger") | F.col("recommended").isNotNull(), 0).otherwise(5) + F.when(F.col("file").eqNullSafe(F.col("to_file")), 0).otherwise(1)
         step = step.select("trigger_id", F.col("to").alias("id"), score.alias("score")).filter(F.col("score") < most_score)
-        pending = pending.filter(F.col("score") > level).unionByName(step).groupBy("trigger_id", "id").agg(F.min("score").alias("score"))
-        pending = stored(pending.join(done, ["trigger_id", "id"], "left_anti"), "search-pending")
-        level = pending.agg(F.min("score")).first()[0]  # levels without candidates are passed over
+        met = pending.select("trigger_id", "id", "score", (F.col("visited") | (F.col("score") == level)).alias("visited")).unionByName(step.withColumn("visited", F.lit(False)))
+        before = scratch[:]
+        scratch.clear()
+        pending = stored(met.groupBy("trigger_id", "id").agg(F.min("score").alias("score"), F.bool_or("visited").alias("visited")), "search-pending", scratch)
+        drop(pending.sparkSession, before)
+        level = pending.filter("not visited").agg(F.min("score")).first()[0]  # levels without candidates are passed over
     w = Window.partitionBy("trigger_id").orderBy("rank", "id")
-    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most_found).drop("_n")
+    out = stored(found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most_found).drop("_n"), "search-found")
+    drop(out.sparkSession, levels + scratch)
+    return out
 
 
 def scan_all(triggers: DataFrame, identifiers: DataFrame, recommend) -> DataFrame:
@@ -179,18 +191,24 @@ PAIR_RELATIONS = {
 }
 
 
-def related_pairs(units: DataFrame, edges: DataFrame) -> DataFrame:
+def related_pairs(units: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(unit, kind, a, b): pairs of a unit's identifiers that an edge relates, by PAIR_RELATIONS; fields count as variables for TypeV, Assigns and Passes.
 
-    units: (unit, id, id_type, file). The units' rows are joined to edges, so no pair without an edge is formed.
+    units: (unit, id, id_type, file). In units of up to ``most`` identifiers the pairs are formed first and met with
+    edges by both ends, so that a popular identifier's edges are no burden; larger units are met with the edges of
+    their identifiers, so that no unit's pairs are.
     """
     kinds = []
     for kind, (a, b, rel, same) in PAIR_RELATIONS.items():
         wide = {"VariableName": ["VariableName", "FieldName"]} if kind in ("TypeV", "Assigns", "Passes") else {}
         kinds += [(kind, x, y, rel, same) for x, y in itertools.product(wide.get(a, [a]), wide.get(b, [b]))]
     table = units.sparkSession.createDataFrame(kinds, "kind string, type_a string, type_b string, rel string, same boolean")
-    left = units.select("unit", F.col("id").alias("src"), F.col("id_type").alias("type_a"), F.col("file").alias("file_a"))
-    right = units.select("unit", F.col("id").alias("dst"), F.col("id_type").alias("type_b"), F.col("file").alias("file_b"))
-    met = left.join(edges, "src").join(right, ["unit", "dst"]).join(F.broadcast(table), ["type_a", "type_b", "rel"])
+    sized = units.join(units.groupBy("unit").agg((F.count("*") > most).alias("_large")), "unit")
+    left = sized.select("unit", "_large", F.col("id").alias("src"), F.col("id_type").alias("type_a"), F.col("file").alias("file_a"))
+    right = sized.select("unit", F.col("id").alias("dst"), F.col("id_type").alias("type_b"), F.col("file").alias("file_b"))
+    small = left.filter("not _large").join(right, "unit").filter("src <> dst").join(F.broadcast(table.select("type_a", "type_b").distinct()), ["type_a", "type_b"], "left_semi").join(edges, ["src", "dst"])
+    large = left.filter("_large").join(edges, "src").join(right, ["unit", "dst"])
+    met = small.select("unit", "src", "dst", "rel", "type_a", "type_b", "file_a", "file_b").unionByName(large.select("unit", "src", "dst", "rel", "type_a", "type_b", "file_a", "file_b"))
+    met = met.join(F.broadcast(table), ["type_a", "type_b", "rel"])
     met = met.filter((F.col("src") != F.col("dst")) & (~F.col("same") | (F.col("file_a") == F.col("file_b"))))
     return met.select("unit", "kind", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()

@@ -139,3 +139,40 @@ def test_related_pairs(spark):
     assert rows(pairs) == [("u", "BelongsM", "C", "m"), ("u", "TypeV", "C", "v")]  # the field of another file does not belong
     n = study.relation_counts(pairs, spark.createDataFrame([("u", "insert"), ("u", "delete")], "unit string, op string"))
     assert {(r.relation, r.op): r.n for r in n.collect()}[("BelongsM", None)] == 1
+
+
+def test_deep_ancestors(spark):
+    """A chain of 70 levels and a cycle of five beside it: no level is left out, no pair comes twice."""
+    chain = [(f"a{i:02}", f"a{i + 1:02}") for i in range(70)]
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)]
+    got = [(r.src, r.dst) for r in graph.ancestors(spark, spark.createDataFrame(chain + ring, "child string, parent string")).filter("rel = 'ancestor'").collect()]
+    want = {(f"a{i:02}", f"a{j:02}") for i in range(71) for j in range(i + 2, 71)} | {(f"r{i}", f"r{j}") for i in range(5) for j in range(5)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.ancestors(spark, spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_related_pairs_of_large_units(spark):
+    """Both ways of meeting units and edges give the same."""
+    rng = random.Random(5)
+    kinds = ["ClassName", "MethodName", "FieldName", "ParameterName", "VariableName"]
+    units = spark.createDataFrame([(u, f"i{i}", rng.choice(kinds), rng.choice("fg")) for u in range(3) for i in rng.sample(range(40), 25)], "unit long, id string, id_type string, file string")
+    rels = sorted({v[2] for v in graph.PAIR_RELATIONS.values()})
+    edges = spark.createDataFrame([(f"i{rng.randrange(40)}", rng.choice(rels), f"i{rng.randrange(40)}") for _ in range(3000)], "src string, rel string, dst string").distinct()
+    small, large = rows(graph.related_pairs(units, edges)), rows(graph.related_pairs(units, edges, most=0))
+    assert small == large and len(small) > 50
+
+
+def test_dictionary_in_heuristics(spark):
+    """H2 and H3 take dictionary terms alone; an acronym over others gives nothing and the prefix is tried."""
+    names = spark.createDataFrame([("x", ["stringent", "string", "sbuild"]), ("y", ["size", "builder"])], "id string, words array<string>")
+    edges = spark.createDataFrame([("a", "siblings", "x"), ("a", "type", "y")], "src string, rel string, dst string")
+    unknown = spark.createDataFrame([("a", "str"), ("a", "sb"), ("a", "szs")], "id string, word string")
+    d = spark.createDataFrame([("stringent",), ("sbuild",), ("size",)], "word string")
+    got = rows(expand.candidates(unknown, edges, names, d))
+    assert got == [("a", "sb", "siblings", "H2", "sbuild"), ("a", "str", "siblings", "H2", "stringent"), ("a", "szs", "type", "H3", "size")]
+    assert ("a", "str", "siblings", "H2", "string") in rows(expand.candidates(unknown, edges, names)) and ("a", "sb", "type", "H1", "size#builder") in rows(expand.candidates(unknown, edges, names))
+
+
+def test_expansion_maps(spark):
+    f = spark.createDataFrame([("i", "ctx", "context", "H3"), ("i", "sb", "string#builder", "H1"), ("i", "get", "get", "ST")], "id string, word string, expansion string, heuristic string")
+    assert dict(expand.expansion_maps(f, ["id"]).first().expansions) == {"ctx": "H3:context", "sb": "H1:string#builder"}

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 KEY = ["line", "id_type", "name", "file"]
 
 
+def rename_key(commit: Column, file: Column, line: Column, old_name: Column) -> Column:
+    """One text for each rename; the parts are set apart, so that no two renames share one."""
+    return F.concat_ws("\x1f", commit.cast("string"), file, line.cast("string"), old_name)
+
+
 def locate(renames: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Each rename with the id of its identifier: same name, line and file; the same kind first, then the least id; null if there is none."""
     i = identifiers.select(F.col("name").alias("old_name"), "line", "file", F.col("id_type").alias("_type"), F.col("id").alias("_id"))
@@ -22,9 +27,9 @@ def locate(renames: DataFrame, identifiers: DataFrame) -> DataFrame:
     return met.groupBy(*keys).agg(F.min_by("_id", order).alias("id"))
 
 
-def lookup(identifiers: DataFrame, ids: list[str]) -> DataFrame:
-    """Rows of these ids that are unique."""
-    picked = identifiers.filter(F.col("id").isin(ids))
+def lookup(identifiers: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of these ids (a table with a column id) that are unique."""
+    picked = identifiers.join(ids.select("id"), "id", "left_semi")
     once = picked.groupBy("id").agg(F.count("*").alias("_n")).filter("_n = 1").select("id")
     return picked.join(once, "id", "left_semi")
 
@@ -117,6 +122,26 @@ def integrated(triggers: DataFrame, renames: DataFrame, found: DataFrame, pairs:
     return out.na.fill(0, ["n_gold", "n_found", "n_hit"])
 
 
+def integrated_detail(gold: DataFrame, found: DataFrame, structured: DataFrame | None = None) -> DataFrame:
+    """Detail rows of an evaluation over a window: what each trigger's gold renames and recommendations came to.
+
+    gold: (commit, idx, gold_id, KEY, gold_name): renames within the trigger's window that share an operation with it;
+    found: (commit, idx, rec, KEY, new_name). Kinds: TP (both ids), FN (a gold rename alone), FP (a recommendation alone). A
+    gold rename takes the recommendation of the same identifier, or else, where structured gives some, the best by
+    structure (commit, idx, rec, gold_id, priority); several gold renames may take one recommendation.
+    """
+    scope = ["commit", "idx"]
+    exact = gold.join(found.select(*scope, "rec", *KEY), [*scope, *KEY]).select(*scope, "rec", "gold_id", F.lit(0).alias("priority"))
+    both = exact if structured is None else exact.unionByName(structured.select(*scope, "rec", "gold_id", "priority"))
+    best = both.groupBy(*scope, "gold_id").agg(F.min_by("rec", F.struct("priority", "rec")).alias("rec"))
+    g = gold.select(*scope, "gold_id", "gold_name").distinct()
+    f = found.select(*scope, "rec", "new_name").distinct()
+    hit = best.join(g, [*scope, "gold_id"]).join(f, [*scope, "rec"]).select(*scope, "gold_id", "rec", "gold_name", "new_name", F.lit("TP").alias("kind"))
+    missed = g.join(best, [*scope, "gold_id"], "left_anti").select(*scope, "gold_id", F.lit(None).cast(f.schema["rec"].dataType).alias("rec"), "gold_name", F.lit(None).cast("string").alias("new_name"), F.lit("FN").alias("kind"))
+    wrong = f.join(best, [*scope, "rec"], "left_anti").select(*scope, F.lit(None).cast(g.schema["gold_id"].dataType).alias("gold_id"), "rec", F.lit(None).cast("string").alias("gold_name"), "new_name", F.lit("FP").alias("kind"))
+    return hit.unionByName(missed).unionByName(wrong)
+
+
 def scored_somewhere(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with any of these columns above 0."""
     cond = F.lit(False)
@@ -183,6 +208,39 @@ def commit_pools(renames: DataFrame, pairs: DataFrame, cap: int = 10) -> DataFra
     return pools.groupBy("pool").agg(F.count("*").alias("n"))
 
 
+def window_counts(commits: DataFrame, days: int, closed: bool = False) -> DataFrame:
+    """(commit, n, first_other, last_other): how many commits window_pairs() would give each commit, the least and the greatest; no pair is listed.
+
+    Times are counted once each; a window then adds the whole days within it, summed over running totals, to what its
+    first and last day hold, which are met with that day's different times alone.
+    """
+    times = commits.groupBy("ts").agg(F.count("*").alias("n"), F.min("commit").alias("lo"), F.max("commit").alias("hi"))
+    here = times.select("ts").withColumn("_end", F.col("ts") + F.expr(f"interval {days} days")).select("ts", "_end", F.explode(F.sequence(F.lit(0), F.lit(days))).alias("_k"))
+    here = here.select("ts", "_end", F.date_add(F.to_date("ts"), F.col("_k")).alias("_day"), ((F.col("_k") == 0) | (F.col("_k") == days)).alias("_edge"))
+    day = times.groupBy(F.to_date("ts").alias("_day")).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    inner = here.filter("not _edge").join(day, "_day").select("ts", "n", "lo", "hi")
+    there = times.select(F.to_date("ts").alias("_day"), F.col("ts").alias("other_ts"), "n", "lo", "hi")
+    inside = (F.col("other_ts") >= F.col("ts")) & ((F.col("other_ts") <= F.col("_end")) if closed else (F.col("other_ts") < F.col("_end")))
+    edges = here.filter("_edge").join(there, "_day").filter(inside).select("ts", "n", "lo", "hi")
+    sums = inner.unionByName(edges).groupBy("ts").agg(F.sum("n").alias("n"), F.min("lo").alias("first_other"), F.max("hi").alias("last_other"))
+    return commits.select("commit", "ts").join(sums, "ts").drop("ts")
+
+
+def same_time_sizes(renames: DataFrame, commits: DataFrame, cap: int = 10) -> DataFrame:
+    """group_sizes() for windows of no days: renames (commit, idx, op_key, ts) of one time and operation, counted once for that time and taken for each commit (commit, ts) of it."""
+    return _same_time(renames, commits, F.least(F.count_distinct("commit", "idx"), F.lit(cap)), "size")
+
+
+def same_time_pools(renames: DataFrame, commits: DataFrame, cap: int = 10) -> DataFrame:
+    """commit_pools() for windows of no days."""
+    return _same_time(renames, commits, F.least(F.count_distinct("commit"), F.lit(cap)), "pool")
+
+
+def _same_time(renames: DataFrame, commits: DataFrame, measure: Column, name: str) -> DataFrame:
+    sizes = renames.groupBy("ts", "op_key").agg(measure.alias(name))
+    return sizes.join(commits.groupBy("ts").agg(F.count("*").alias("_n")), "ts").groupBy(name).agg(F.sum("_n").alias("n"))
+
+
 def weighted_mean_median(hist: DataFrame, value: str, n: str) -> DataFrame:
     return hist.agg((F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("mean"), F.percentile(value, 0.5, F.col(n)).alias("median"))
 

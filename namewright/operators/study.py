@@ -92,6 +92,54 @@ def relation_counts(pairs: DataFrame, unit_kinds: DataFrame) -> DataFrame:
     return met.rollup("relation", "op").agg(F.count_distinct("a", "b").alias("n")).filter("relation is not null")
 
 
+def relation_details(pairs: DataFrame, unit_kinds: DataFrame) -> DataFrame:
+    """(kind, relation, a, b): each related pair once for every kind of identifier that its unit holds. pairs: (unit, kind, a, b); unit_kinds: (unit, id_type)."""
+    met = pairs.select("unit", F.col("kind").alias("relation"), "a", "b").join(unit_kinds.select("unit", F.col("id_type").alias("kind")).distinct(), "unit")
+    return met.select("kind", "relation", "a", "b").distinct()
+
+
+def counted_details(details: DataFrame) -> DataFrame:
+    """Pairs by kind and relation, and by relation over all kinds (kind NULL, a pair once)."""
+    each = details.groupBy("kind", "relation").agg(F.count("*").alias("n"))
+    whole = details.select("relation", "a", "b").distinct().groupBy("relation").agg(F.count("*").alias("n"))
+    return each.unionByName(whole.select(F.lit(None).cast("string").alias("kind"), "relation", "n"))
+
+
+def affected_details(details: DataFrame, ids: DataFrame) -> DataFrame:
+    """The details of which either end is among ids (id); counted_details() counts them."""
+    return touched_relations(details.select("a", "b", "kind", "relation"), ids).select("kind", "relation", "a", "b")
+
+
+def shared_units(unit: DataFrame, keys: list[str]) -> DataFrame:
+    """Units of more than one rename, and all renames in them, for each key and for all (keys NULL)."""
+    big = F.col("size") > 1
+    return unit.rollup(*keys).agg(F.count_if(big).alias("units"), F.sum(F.when(big, F.col("size")).otherwise(0)).alias("renames"))
+
+
+def project_folds(projects: DataFrame, folds: int = 9) -> DataFrame:
+    """(project, fold): projects by name, dealt to the folds in turn. Projects are few, so the single ordered window is over a small table."""
+    w = Window.orderBy("project")
+    return projects.select("project").distinct().withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+
+
+def paired_projects(normal: DataFrame, lemmatised: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The counts of two analyses of the same projects side by side, by name and not by place; what one of them lacks is 0."""
+    both = normal.select(*keys, F.col(n).alias("normal")).join(lemmatised.select(*keys, F.col(n).alias("lemmatised")), keys, "full")
+    return both.na.fill(0, ["normal", "lemmatised"])
+
+
+def analysed_project(renames: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
+    """All tables of one project's analysis, from its renames (commit, op_key, op, id, id_type, file, line, old_name, new_name, path) and the facts of its trees."""
+    from namewright.operators import trees
+    from namewright.schema import ID_TYPES
+
+    unit = units(renames, ID_TYPES)
+    named = renames.select(F.struct("commit", "op_key").alias("unit"), "id", "id_type", F.col("old_name").alias("name"), "path").distinct()
+    pairs = trees.related(named, found)
+    details = relation_details(pairs, named)
+    return {"units": unit, "sizes": size_by_kind(unit), "renames": renames_by_kind(unit), "rate": co_rename_rate(unit, []), "cdf": size_cdf(unit), "details": details, "relations": counted_details(details)}
+
+
 def merge_projects(frames: list[DataFrame]) -> DataFrame:
     """All projects' rows, columns by name, missing ones NULL."""
     out = frames[0]

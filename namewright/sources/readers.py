@@ -61,8 +61,9 @@ def polish(gold: DataFrame) -> DataFrame:
     return gold.select("commit", left["startLine"].alias("line"), F.col("location.old").alias("file"), last("oldname").alias("old_name"), last("newname").alias("new_name"), kind_of(F.col("renameType")).alias("id_type"))
 
 
-def gold_json(spark: SparkSession, path: str) -> DataFrame:
-    return polish(spark.read.json(path, schema=schema.GOLD, multiLine=True))
+def gold_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """lines: a record a line, and not one array a file."""
+    return polish(spark.read.json(path, schema=schema.GOLD, multiLine=not lines))
 
 
 def element_name(code: Column) -> Column:
@@ -91,14 +92,31 @@ def miner_v1(spark: SparkSession, path: str) -> DataFrame:
     return one.groupBy("commit").agg(F.collect_list(F.struct("name", "old_name", "new_name")).alias("renames"), F.count("*").alias("n"))
 
 
-def recommendations_json(spark: SparkSession, path: str) -> DataFrame:
-    """Recommendations from {commit: {trigger: [row, ...]}}."""
+def recommendations_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Recommendations from {commit: {trigger: [row, ...]}}; lines: such a text a line, and not one a file."""
     row = "struct<id:string,files:string,line:int,typeOfIdentifier:string,name:string,join:string,rank:int>"
-    text = spark.read.format("text").option("wholetext", True).load(path)
+    text = spark.read.format("text").option("wholetext", not lines).load(path)
     m = text.select(F.explode(F.from_json("value", f"map<string,map<string,array<{row}>>>")).alias("commit", "t")).select("commit", F.explode("t").alias("idx", "rows"))
     return m.select("commit", "idx", F.explode("rows").alias("r")).select("commit", "idx", "r.id", F.col("r.files").alias("file"), "r.line", F.col("r.typeOfIdentifier").alias("id_type"), "r.name", F.col("r.join").alias("new_name"), "r.rank")
 
 
+def operations_json(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, commit, key, ops) from lines {mode: {commit: {trigger: [operation, ...]}}}."""
+    op = "struct<op:string,kind:string,old_words:array<string>,new_words:array<string>>"
+    m = spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,map<string,map<string,array<{op}>>>>")).alias("mode", "c"))
+    return m.select("mode", F.explode("c").alias("commit", "k")).select("mode", "commit", F.explode("k").alias("key", "ops"))
+
+
+def snapshot_paths(root: str, commit: Column, file: Column) -> tuple[Column, Column]:
+    """What names a file in the version before a commit, and the folder of that version's tables."""
+    return F.concat(commit, F.lit("^:"), file), F.concat(F.lit(root.rstrip("/") + "/archives/"), commit)
+
+
+def kept_commits(renames: DataFrame, keep: Column) -> DataFrame:
+    """The renames of commits of which one rename at least is to be kept."""
+    return renames.join(renames.filter(keep).select("commit").distinct(), "commit", "left_semi")
+
+
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit, author, ts, seq) from a git log's text; seq counts from the oldest."""
     text = spark.read.format("text").option("wholetext", True).load(path)
@@ -137,9 +155,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy("abbr").agg(F.array_sort(F.collect_list("expansion")).alias("expansions"))
 
 
-def class_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, abbr, expansion): the most frequent one, from {file: {"abbr==expansion": n}}."""
-    text = spark.read.format("text").option("wholetext", True).load(path)
+def project_records(abbreviations: DataFrame) -> DataFrame:
+    """(abbr, expansion) from abbr -> expansions: the last expansion by letters."""
+    return abbreviations.select("abbr", F.array_max("expansions").alias("expansion"))
+
+
+def class_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, abbr, expansion): the most frequent one, from {file: {"abbr==expansion": n}}; lines: such a text a line, and not one a file."""
+    text = spark.read.format("text").option("wholetext", not lines).load(path)
     d = text.select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("file", "m")).select("file", F.explode("m").alias("k", "n"))
     d = d.select("file", F.split_part("k", F.lit("=="), F.lit(1)).alias("abbr"), F.split_part("k", F.lit("=="), F.lit(2)).alias("expansion"), "n")
     return d.groupBy("file", "abbr").agg(F.max_by("expansion", F.struct("n", "expansion")).alias("expansion"))

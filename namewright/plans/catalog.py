@@ -5,34 +5,19 @@ Every query runs over whole tables. Counts are BIGINT and ratios are rounded to
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewright.functions import lexicon, names
 from namewright.operators import edits, evaluate, expand, graph, study
-from namewright.plans.identifiers import GOLD_SQL, IDS_SQL, RENAMES_SQL, gold_and_found, identifiers, load, renames
+from namewright.plans.identifiers import gold_and_found, identifiers, load, renames
+from namewright.plans.registry import GOLD, IDS, ORACLE, QUERIES, REN
+from namewright.plans.registry import query as _query
+from namewright.plans.registry import rounded as _rounded
 from namewright.schema import ALLOWED_RELATIONS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLE", "QUERIES"]
 
-
-
-
-IDS, REN = f"WITH {IDS_SQL} ", f"WITH {IDS_SQL}, {RENAMES_SQL} "
-GOLD = f"WITH {IDS_SQL}, {RENAMES_SQL}, {GOLD_SQL} "
 #: Words of a name in SQL: delimiters and camel boundaries become spaces.
 WORDS_SQL = r"list_filter(string_split(regexp_replace(regexp_replace(name, '[_$0-9]+', ' ', 'g'), '([a-z]+|[A-Z][a-z]+)', ' \1 ', 'g'), ' '), lambda x: x <> '')"
 CASE_SQL = "CASE WHEN regexp_full_match(x, '[A-Z]+') THEN 'UPPER' WHEN regexp_full_match(x, '[A-Z][a-z]+') THEN 'TITLE' WHEN regexp_full_match(x, '[a-z]+') THEN 'LOWER' ELSE 'UNKNOWN' END"
@@ -40,7 +25,7 @@ CASE_SQL = "CASE WHEN regexp_full_match(x, '[A-Z]+') THEN 'UPPER' WHEN regexp_fu
 
 @_query(IDS + "SELECT id, file, line, id_type, name FROM ids")
 def identifier_view(spark, sf):
-    """The identifier table."""
+    """P5: the identifier table."""
     return identifiers(spark, sf).select("id", "file", "line", "id_type", "name")
 
 
@@ -62,7 +47,7 @@ def name_pattern(spark, sf):
 
 @_query(REN + 'SELECT "commit", CAST(idx AS BIGINT) AS idx, old_name, new_name FROM renames')
 def recase_join(spark, sf):
-    """F7, F8, D-7..D-9: new names put together from edited word lists."""
+    """New names put together from edited word lists."""
     return renames(spark, sf).select("commit", F.col("idx").cast("long").alias("idx"), "old_name", "new_name")
 
 
@@ -87,7 +72,7 @@ _ALLOWED = ", ".join(f"('{t}', '{r}')" for t, rs in ALLOWED_RELATIONS.items() fo
     UNION ALL SELECT DISTINCT l_partkey, 'enclosingClass', l_suppkey FROM lineitem UNION ALL SELECT id, 'type', id % 150 FROM ids) e
     JOIN ids i ON e.src = i.id WHERE (i.id_type, e.rel) IN ({_ALLOWED})""")
 def allowed_edges(spark, sf):
-    """Edges whose label their source may carry."""
+    """Edges whose label their source may carry."""
     return graph.allowed(_typed_edges(spark, sf), identifiers(spark, sf))
 
 
@@ -97,7 +82,7 @@ def allowed_edges(spark, sf):
     up AS (SELECT child, parent, 1 AS depth FROM extends UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN extends e ON u.parent = e.child WHERE u.depth < 32)
     SELECT child AS src, 'ancestor' AS rel, parent AS dst FROM up WHERE depth >= 2 UNION ALL SELECT parent, 'subsubclass', child FROM up WHERE depth >= 2""")
 def ancestors_recursive(spark, sf):
-    """Ancestors two levels up or more, both ways."""
+    """Ancestors two levels up or more, both ways."""
     pair = lambda t, a, ca, b, cb: load(spark, sf, t).select(F.concat(F.lit(a), F.col(ca)).alias("child"), F.concat(F.lit(b), F.col(cb)).alias("parent"))
     e = pair("nation", "N", "n_nationkey", "R", "n_regionkey").union(pair("customer", "C", "c_custkey", "N", "c_nationkey")).union(pair("supplier", "S", "s_suppkey", "N", "s_nationkey")).union(pair("orders", "O", "o_orderkey", "C", "o_custkey"))
     return graph.ancestors(spark, e)
@@ -143,13 +128,13 @@ def _window_summary(pairs: DataFrame) -> DataFrame:
 
 @_query(_window_sql("<"))
 def commit_window_pairs(spark, sf):
-    """Commits within two days, end excluded."""
-    return _window_summary(evaluate.window_pairs(_commits(spark, sf), 2))
+    """J7 counted without listing pairs: commits within two days, end excluded."""
+    return evaluate.window_counts(_commits(spark, sf), 2)
 
 
 @_query(_window_sql("<="))
 def commit_window_closed(spark, sf):
-    """Commits within two days, end included."""
+    """Pairs of commits within two days, end included."""
     return _window_summary(evaluate.window_pairs(_commits(spark, sf), 2, closed=True))
 
 
@@ -251,10 +236,6 @@ def _per_commit(spark, sf) -> DataFrame:
     return evaluate.trigger_metrics(gold.withColumn("trigger", F.lit(0)), found.withColumn("trigger", F.lit(0)), "commit", "trigger").drop("trigger")
 
 
-def _rounded(df: DataFrame, columns) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in columns})
-
-
 _FOUR = ["precision", "recall", "fscore", "exact"]
 
 
@@ -341,13 +322,12 @@ def _same_day(spark, sf) -> DataFrame:
 @_query(REN + _ANCHOR_SQL + """SELECT size, CAST(count(*) AS BIGINT) AS n FROM (SELECT p."commit", op_key, CAST(least(count(DISTINCT (p.other, r.idx)), 10) AS BIGINT) AS size FROM pairs p JOIN renames r ON p.other = r."commit" GROUP BY 1, 2) GROUP BY size""")
 def group_size_histogram(spark, sf):
     """Sizes of (commit, operation) groups at one point of time."""
-    out = evaluate.group_sizes(renames(spark, sf), _same_day(spark, sf))
-    return out.select(F.col("size").cast("long").alias("size"), "n")
+    return evaluate.same_time_sizes(renames(spark, sf), _commits(spark, sf)).select(F.col("size").cast("long").alias("size"), "n")
 
 
 @_query(REN + _ANCHOR_SQL + """SELECT pool, CAST(count(*) AS BIGINT) AS n FROM (SELECT p."commit", op_key, CAST(least(count(DISTINCT p.other), 10) AS BIGINT) AS pool FROM pairs p JOIN renames r ON p.other = r."commit" GROUP BY 1, 2) GROUP BY pool""")
 def commit_pool_histogram(spark, sf):
-    """Commits that hold a group's renames."""
+    """Commits that hold a group's renames."""
     return evaluate.commit_pools(renames(spark, sf), _same_day(spark, sf)).select(F.col("pool").cast("long").alias("pool"), "n")
 
 
@@ -415,7 +395,7 @@ _LEMMA_SQL = "CASE WHEN w1 LIKE '%e' THEN substr(w1, 1, length(w1) - 1) ELSE w1
 @_query(REN + f""", a AS (SELECT DISTINCT "commit", {_LEMMA_SQL} AS op FROM renames), b AS (SELECT DISTINCT "commit", w1 AS op FROM renames)
     SELECT "commit", CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY "commit" """)
 def affected_units(spark, sf):
-    """Units that only the normalised words give, counted by commit."""
+    """Units that only the second way of naming words gives, counted by commit (words without a final e)."""
     r = renames(spark, sf)
     stem = F.when(F.col("w1").like("%e"), F.expr("substr(w1, 1, length(w1) - 1)")).otherwise(F.col("w1"))
     return study.affected(r.select("commit", stem.alias("op")), r.select("commit", F.col("w1").alias("op"))).groupBy("commit").agg(F.count("*").alias("n"))
@@ -424,7 +404,7 @@ def affected_units(spark, sf):
 @_query(IDS + """, p AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM ids a JOIN ids b ON a.file = b.file AND a.line = b.line AND a.id < b.id), t AS (SELECT id FROM ids WHERE w1 LIKE '%e')
     SELECT a, b FROM p WHERE a IN (SELECT id FROM t) OR b IN (SELECT id FROM t)""")
 def touched_relations(spark, sf):
-    """Related pairs with an affected end."""
+    """Related pairs with an affected end."""
     i = identifiers(spark, sf)
     sib = graph.siblings(i.select(F.struct("file", "line").alias("cls"), F.col("id").alias("member")))
     pairs = sib.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -468,21 +448,21 @@ def _abbr(spark, sf) -> DataFrame:
 
 @_query(_ABBR_SQL + "SELECT DISTINCT id, abbr, heuristic, expansion FROM best")
 def abbr_candidates(spark, sf):
-    """Prefix and dropped-letter candidates among related words."""
+    """Prefix and dropped-letter candidates among related words, of any words."""
     return _abbr(spark, sf)
 
 
 @_query(_ABBR_SQL + """, v AS (SELECT abbr, expansion, count(*) AS votes, min(heuristic) AS heuristic FROM (SELECT DISTINCT id, abbr, heuristic, expansion FROM best) GROUP BY 1, 2)
     SELECT abbr, expansion, heuristic, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY abbr ORDER BY votes DESC, length(expansion), expansion) AS k FROM v) WHERE k = 1""")
 def abbr_vote(spark, sf):
-    """The expansion with most votes."""
+    """The expansion with most votes."""
     return expand.vote(_abbr(spark, sf), ["abbr"])
 
 
 @_query(IDS + """, t AS (SELECT file, string_agg(substr(w2, 1, 1), '' ORDER BY id) AS letters, list(w2 ORDER BY id) AS terms FROM ids GROUP BY file), a AS (SELECT DISTINCT substr(w1, 1, 1) || substr(w2, 1, 1) AS abbr FROM ids)
     SELECT file, abbr, terms[instr(letters, abbr)] || '#' || terms[instr(letters, abbr) + 1] AS expansion FROM t CROSS JOIN a WHERE instr(letters, abbr) > 0""")
 def acronym_candidates(spark, sf):
-    """Two-letter acronyms over each file's words in order (the set of abbreviations, at most 26 * 26, is one broadcast row)."""
+    """E1 without a dictionary: two-letter acronyms over each file's words in order (the set of abbreviations, at most 26 * 26, is one broadcast row)."""
     i = identifiers(spark, sf)
     item = F.struct("id", "w2")
     t = i.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["w2"]).alias("terms"))
@@ -505,7 +485,7 @@ def _priority(spark, sf) -> DataFrame:
 
 @_query(_PRIO_SQL + 'SELECT id_type, rel, heuristic, n_total, n_got, n_right, round("precision", 9) AS "precision", round(metric, 9) AS metric FROM z')
 def priority_table(spark, sf):
-    """Precision and metric of each way to expand."""
+    """Precision and metric of each way to expand."""
     return _rounded(_priority(spark, sf), ["precision", "metric"])
 
 
@@ -553,7 +533,7 @@ def rename_descriptions(spark, sf):
 
 @_query(REN + """SELECT "commit", CAST(idx AS BIGINT) AS idx, 'Rename ' || id_type AS kind, file, line, old_name, new_name FROM renames WHERE id_type <> 'MethodName'""")
 def miner_flatten(spark, sf):
-    """Nested miner records filtered, exploded and polished."""
+    """Nested miner records filtered and exploded."""
     from namewright.sources import readers
 
     r = renames(spark, sf)
@@ -565,24 +545,15 @@ def miner_flatten(spark, sf):
     return flat.select(F.col("commit").cast("long").alias("commit"), F.col("description").cast("long").alias("idx"), F.col("type").alias("kind"), "file", "line", "old_name", "new_name")
 
 
-@_query()
+@_query(REN + """SELECT "commit", CAST(idx AS BIGINT) AS idx, old_name, new_name, op, CASE op WHEN 'insert' THEN '' ELSE w1 END AS old_words, CASE op WHEN 'insert' THEN 'base' WHEN 'replace' THEN 'new' ELSE '' END AS new_words
+    FROM renames WHERE NOT (op = 'replace' AND w1 = 'new')""")
 def word_diff_ops(spark, sf):
-    """D-1: operations of every rename by longest matching blocks (no SQL: checked in the tests against difflib)."""
-    r = renames(spark, sf)
-    out = r.select("commit", "idx", "old_name", "new_name", F.explode(edits.operations(F.col("old_name"), F.col("new_name"))).alias("o"))
+    """D-1: operations of every rename by longest matching blocks (the renames are of known kinds; the tests compare others with difflib)."""
+    r = edits.with_operations(renames(spark, sf).select("commit", F.col("idx").cast("long").alias("idx"), "old_name", "new_name"))
+    out = r.select("commit", "idx", "old_name", "new_name", F.explode("ops").alias("o"))
     return out.select("commit", "idx", "old_name", "new_name", "o.op", F.array_join("o.old_words", " ").alias("old_words"), F.array_join("o.new_words", " ").alias("new_words"))
 
 
-@_query()
-def co_rename_modes(spark, sf):
-    """D-12..D-14: siblings' new names after each rename, raw and normalised (no SQL: checked in the tests)."""
-    r = renames(spark, sf).select("file", "line", "id", "old_name", "new_name").distinct()
-    cand = identifiers(spark, sf).select("file", "line", F.col("id").alias("cand"), "name")
-    met = r.join(cand, ["file", "line"]).filter("id <> cand")
-    both = [met.select("id", "new_name", "cand", "name", F.lit(m).alias("mode"), edits.recommended(F.col("old_name"), F.col("new_name"), F.col("name"), m).alias("renamed")) for m in ("relation", "relation_normalize", "all_normalize")]
-    return study.merge_projects(both).filter("renamed is not null")
-
-
 @_query()
 def normalise_words(spark, sf):
     """Tags, lemmas and inflections of every distinct word of the texts, once each (no SQL: checked in the tests)."""
@@ -590,3 +561,6 @@ def normalise_words(spark, sf):
     t = w.withColumn("words", F.array("word")).withColumn("tags", lexicon.tags_of("words"))
     t = t.withColumn("lemmas", lexicon.lemmas_of("words", "tags"))
     return t.select("word", "n", F.get("tags", F.lit(0)).alias("tag"), F.get("lemmas", F.lit(0)).alias("lemma"), F.get(lexicon.inflections_of("lemmas", "tags"), F.lit(0)).alias("inflected"))
+
+
+from namewright.plans import catalog_edits, catalog_graph, catalog_names, catalog_sources, catalog_study  # noqa: E402, F401  registers more queries

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from namewright.operators import edits, graph, trees
 from namewright.plans.identifiers import identifiers, load
-from namewright.plans.registry import IDS, query
+from namewright.plans.registry import IDS, place, query
 from namewright.schema import ID_TYPES
+from namewright.sources import readers
 
 
 @query("""WITH e AS (SELECT 'C' || c_custkey AS child, 'N' || c_nationkey AS parent FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier) SELECT child AS src, 'parents' AS rel, parent AS dst FROM e UNION ALL SELECT parent, 'subclass', child FROM e""")
@@ -76,15 +77,15 @@ def scan_all_identifiers(spark, sf):
 
 #: A file of each brand: class B<k> extends Base<k> implements Face<k>, with a field, two methods, a parameter, a local and a call.
 _XML = [
-    "<unit><class>class <name>", "C", "</name><super_list><extends><super><name>", "P", "</name></super></extends><implements><super><name>", "I", "</name></super></implements></super_list><block>{<decl_stmt><decl><type><name>", "P",
+    '<unit xmlns="http://www.srcML.org/srcML/src"><class>class <name>', "C", "</name><super_list><extends><super><name>", "P", "</name></super></extends><implements><super><name>", "I", "</name></super></implements></super_list><block>{<decl_stmt><decl><type><name>", "P",
     "</name></type><name>", "F", "</name></decl></decl_stmt><function><type><name>", "P", "</name></type><name>", "M", "</name><parameter_list>(<parameter><decl><type><name>int</name></type><name>", "A",
     "</name></decl></parameter>)</parameter_list><block>{<block_content><decl_stmt><decl><type><name>int</name></type><name>", "V", "</name><init>=<expr><name>", "A",
     "</name></expr></init></decl></decl_stmt><expr_stmt><expr><call><name>", "N", "</name><argument_list>(<argument><expr><name>", "F", "</name></expr></argument>)</argument_list></call></expr></expr_stmt></block_content>}</block></function><function><type><name>void</name></type><name>", "N",
-    "</name><parameter_list>(<parameter><decl><type><name>int</name></type><name>", "B", "</name></decl></parameter>)</parameter_list><block>{<block_content/>}</block></function></block></class><class>class <name>", "P", "</name><block/></class></unit>",
+    "</name><parameter_list>(<parameter><decl><type><name>int</name></type><name>", "B", "</name></decl></parameter>)</parameter_list><block>{<block_content/>}</block></function><class>class <name>", "D", "</name><block/></class></block></class><class>class <name>", "P", "</name><block/></class></unit>",
 ]
-_KINDS = {"C": "ClassName", "P": "ClassName", "I": "ClassName", "F": "FieldName", "M": "MethodName", "N": "MethodName", "A": "ParameterName", "B": "ParameterName", "V": "VariableName"}
+_KINDS = {"C": "ClassName", "D": "ClassName", "P": "ClassName", "I": "ClassName", "F": "FieldName", "M": "MethodName", "N": "MethodName", "A": "ParameterName", "B": "ParameterName", "V": "VariableName"}
 #: What must be found between the places of the file above.
-_FOUND = [("Extends", "C", "P"), ("Implements", "C", "I"), ("BelongsF", "C", "F"), ("TypeV", "F", "P"), ("BelongsM", "C", "M"), ("BelongsM", "C", "N"), ("CoOccursM", "M", "N"), ("TypeM", "M", "P"), ("BelongsA", "M", "A"), ("BelongsA", "N", "B"), ("BelongsL", "M", "V"), ("Assigns", "V", "A"), ("Invokes", "M", "N"), ("Accesses", "M", "F"), ("Passes", "B", "F")]
+_FOUND = [("BelongsC", "C", "D"), ("Extends", "C", "P"), ("Implements", "C", "I"), ("BelongsF", "C", "F"), ("TypeV", "F", "P"), ("BelongsM", "C", "M"), ("BelongsM", "C", "N"), ("CoOccursM", "M", "N"), ("TypeM", "M", "P"), ("BelongsA", "M", "A"), ("BelongsA", "N", "B"), ("BelongsL", "M", "V"), ("Assigns", "V", "A"), ("Invokes", "M", "N"), ("Accesses", "M", "F"), ("Passes", "B", "F")]
 _PLACES = ", ".join(f"('{k}', '{v}')" for k, v in _KINDS.items())
 _EXPECTED = ", ".join(f"('{k}', '{a}', '{b}')" for k, a, b in _FOUND)
 
@@ -93,10 +94,12 @@ _EXPECTED = ", ".join(f"('{k}', '{a}', '{b}')" for k, a, b in _FOUND)
     m AS (SELECT DISTINCT unit, s, place FROM u JOIN p ON (k + length(place) + ascii(place)) % 3 <> 0)
     SELECT f.kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT x.unit) AS BIGINT) AS units FROM m x JOIN m y ON x.unit = y.unit AND x.s = y.s JOIN f ON f.a = x.place AND f.b = y.place GROUP BY 1""")
 def tree_relations(spark, sf):
-    """R-1..R-14, S14: related pairs of rename units, found in the syntax trees of their files (a tree for each supplier)."""
-    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
+    """R-1..R-14, S14: related pairs of rename units, found in the syntax trees of their files (a tree for each supplier, written as XML and read again)."""
+    s, at = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("s")), place(spark, "trees")
     xml = F.concat(*[F.concat(F.lit(x.lower()), F.col("s").cast("string")) if x in _KINDS else F.lit(x) for x in _XML])
-    found = trees.facts(s.select(F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".xml")).alias("path"), xml.alias("xml")))
+    s.select(F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".xml")).alias("tree"), xml.alias("value")).write.partitionBy("tree").text(at)
+    read = readers.xml_texts(spark, f"{at}/*/*.txt").select(F.regexp_extract("path", "tree=([^/]+)/", 1).alias("path"), "xml")
+    found = trees.facts(read)
     places = spark.createDataFrame(list(_KINDS.items()), "place string, id_type string")
     u = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("k")).distinct()
     m = u.join(F.broadcast(places), (F.col("k") + 1 + F.ascii("place")) % 3 != 0).select("unit", "s", "place", "id_type").distinct()

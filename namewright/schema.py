@@ -24,7 +24,7 @@ ALLOWED_RELATIONS = {
     "ParameterName": ["type", "comment", "parameterArgument", "enclosingMethod", "argument", "assignment", "methodInvocated"],
     "VariableName": ["type", "methodInvocated", "comment", "enclosingMethod", "enclosingClass", "parameterArgument", "assignment"],
 }
-#: Relations in the order of an identifier table's columns.
+#: Relations in the order of an identifier table's columns.
 RELATIONS = ["subclass", "subsubclass", "parents", "ancestor", "methods", "fields", "siblings", "comment", "type", "enclosingClass", "assignment", "methodInvocated", "parameterArgument", "parameter", "enclosingMethod", "argument"]
 
 IDENTIFIERS = _of(snapshot=_s, id=_s, file=_s, line=_i, name=_s, id_type=_s)

@@ -19,7 +19,8 @@ from namewright.llm.common import stored, table
 #: No stage but the last could be SQL, and that one needs a tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 TOKENIZER = "byte_bpe_50k.json"
-
+#: Bytes of a repeated passage: fifty words of four letters and a space, so that passages of over fifty words are cut.
+REPEAT_BYTES = 250
 
 #: Columns of documents; further columns are carried through under other names, so that none clashes with an operator's.
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -64,8 +65,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_carrying
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings of 400 bytes or more that also stand elsewhere; n_chars follows the text. Documents stay, be their text empty."""
-    out = suffix_dedup.remove(docs, as_text=True)
+    """Cuts byte strings of REPEAT_BYTES or more that also stand elsewhere; n_chars follows the text. Documents stay, be their text empty."""
+    out = suffix_dedup.remove(docs, window=REPEAT_BYTES, as_text=True)
     changed = {"text": F.when(F.size("spans") > 0, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.size("spans") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -2,11 +2,11 @@
 
 Words become symbols of a bounded alphabet: the most frequent words are symbols of their own, other
 words share one symbol for each hash of their last bytes. Latent states emit symbols; a word within a
-shared symbol has its add-one share of that symbol. Baum-Welch counts are summed over the partitions
-of the whole training part in each round; only the model (states x symbols numbers, a bound set by
-parameters) meets on the driver. Scores are exact likelihoods by the scaled forward recursion, run on
-segments at once: each segment's product of transfer matrices is formed, and the segments of a text
-are then chained in order.
+shared symbol has its add-one share of that symbol. Every Baum-Welch round runs over all training
+texts, whole: forward and backward messages pass from one stretch of a text to the next, so no
+transition is left out. Counts are summed over the partitions; only the model (states x symbols
+numbers, a bound set by parameters) meets on the driver. Scores are exact likelihoods by the scaled
+forward recursion, many texts at a time.
 
 Defined results: a null text is empty (its end token alone is scored); a null id belongs to the
 training part; repeated rows count and are scored each on its own; with no training rows all tokens
@@ -16,11 +16,12 @@ are unknown; an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,13 @@ from namewright.llm.common import stored
 #: The end of a text, as a word: no word is empty.
 END = ""
 SUFFIX = 3
-#: Training cuts texts into segments of so many tokens; scoring multiplies transfer matrices over segments of so many.
-TRAIN_SEGMENT, SCORE_SEGMENT = 128, 64
-BLOCK_TOKENS = 1 << 16
+#: Tokens of a stretch; tokens of the texts that are worked on together; bytes of text that are split into words together.
+STRETCH, BLOCK_TOKENS, BLOCK_BYTES = 128, 1 << 19, 8 << 20
 
 
 @dataclass
 class Model:
     start: np.ndarray  # states, at the start of a text
-    inner: np.ndarray  # states, at the start of a later training segment
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states
 
@@ -48,26 +47,32 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
+def word_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.DictionaryArray]]:
+    """The words of tokens(), without the ends, for stretches of rows of bounded size: (first row, row of each word, words)."""
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    size = np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BLOCK_BYTES, "right")))
+        lists = pc.ascii_split_whitespace(texts[a:b])
+        n, flat = pc.list_value_length(lists).to_numpy(False), lists.flatten()
+        row, there = np.repeat(np.arange(b - a), n), pc.greater(pc.binary_length(flat), 0)
+        yield a, row[there.to_numpy(False)], flat.filter(there).dictionary_encode()
+        a = b
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over the texts in column text; counted in each task before the shuffle."""
+    """(word, c) over the texts in column text; counted in each block before the shuffle."""
 
     def run(batches):
-        c: Counter = Counter()
         for b in batches:
-            for x in b[0].to_pylist():
-                c.update(tokens(x))
-                if len(c) > 200_000:
-                    yield _counts(c)
-                    c = Counter()
-        yield _counts(c)
+            for _, _, w in word_blocks(b[0]):
+                yield pa.RecordBatch.from_arrays([w.dictionary, pa.array(np.bincount(w.indices.to_numpy(False), minlength=len(w.dictionary)))], ["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([b.num_rows])], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _counts(c: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
-
-
 def shape(word: bytes, shapes: int) -> int:
     return zlib.crc32(word[-SUFFIX:]) % shapes
 
@@ -86,111 +91,146 @@ def encode(docs: DataFrame, lookup, frequent: int, shapes: int) -> DataFrame:
     def run(batches):
         known, part, n_row = lookup.value, TaskContext.get().partitionId(), 0
         memo: dict[bytes, int] = {}
+
+        def symbol(w: bytes) -> int:
+            s = known.get(w, (-1, 0))[0]
+            if s < 0:
+                s = memo.get(w[-SUFFIX:])
+                if s is None:
+                    s = memo[w[-SUFFIX:]] = frequent + shape(w, shapes)
+            return s
+
+        end, end_count = symbol(b""), known.get(b"", (-1, 0))[1]
         for b in batches:
-            out = {k: [] for k in ("key", "doc_id", "held_out", "n_tokens", "n_seen", "log_seen", "symbols", "rest", "rest_n")}
-            for doc_id, held, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), strict=True):
-                words = tokens(text)
-                sym, rest, n_seen, log_seen = np.empty(len(words), np.uint16), {}, 0, 0.0
-                counts = Counter(words)
-                code: dict[bytes, int] = {}
-                for w, n in counts.items():
-                    s, c = known.get(w, (-1, 0))
-                    if s < 0:
-                        s = memo.get(w[-SUFFIX:])
-                        if s is None:
-                            s = memo[w[-SUFFIX:]] = frequent + shape(w, shapes)
-                    code[w] = s
-                    if c:
-                        n_seen += n
-                        log_seen += n * np.log10(c + 1)
-                    else:
-                        rest[w] = n
-                sym[:] = [code[w] for w in words]
-                for k, v in zip(out, ((part << 33) | n_row, doc_id, held, len(words), n_seen, float(log_seen), sym.tobytes(), list(rest), list(rest.values())), strict=True):
-                    out[k].append(v)
-                n_row += 1
-                if len(out["key"]) >= 256:
-                    yield _coded(out)
-                    out = {k: [] for k in out}
-            if out["key"]:
-                yield _coded(out)
+            for a, row, words in word_blocks(b["text"]):
+                k = (int(row[-1]) if len(row) else 0) + 1
+                listed, at = words.dictionary.cast(pa.binary()).to_pylist(), words.indices.to_numpy(False)
+                count = np.array([known.get(w, (-1, 0))[1] for w in listed], np.int64)
+                code = np.array([symbol(w) for w in listed], np.uint16)
+                log = np.log10(count + 1.0)
+                n = np.bincount(row, minlength=k)
+                seen = np.bincount(row, count[at] > 0 if len(at) else None, minlength=k) if len(at) else np.zeros(k)
+                log_seen = np.bincount(row, log[at], minlength=k) if len(at) else np.zeros(k)
+                syms, edges = code[at] if len(at) else np.empty(0, np.uint16), np.concatenate([[0], np.cumsum(n)])
+                out = np.empty(len(syms) + k, np.uint16)
+                out[np.arange(len(syms)) + row] = syms
+                out[edges[1:] + np.arange(k)] = end
+                # words that the lookup does not have, once a text with their number
+                new = np.flatnonzero(count[at] == 0) if len(at) else np.empty(0, np.int64)
+                pair, times = np.unique(row[new].astype(np.int64) * max(1, len(listed)) + at[new], return_counts=True)
+                rest_at = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(listed)), minlength=k))]).astype(np.int32)
+                own = b.slice(a, k)
+                bounds = (2 * (edges + np.arange(k + 1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((part << 33) + n_row + np.arange(k)), own["doc_id"], own["held_out"], pa.array((n + 1).astype(np.int64)), pa.array(seen.astype(np.int64) + int(end_count > 0)), pa.array(log_seen + np.log10(end_count + 1.0)),
+                    pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())]),
+                    pa.ListArray.from_arrays(pa.array(rest_at), words.dictionary.take(pa.array(pair % max(1, len(listed))))), pa.ListArray.from_arrays(pa.array(rest_at), pa.array(times.astype(np.int32))),
+                ], ["key", "doc_id", "held_out", "n_tokens", "n_seen", "log_seen", "symbols", "rest", "rest_n"])
+                n_row += k
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_seen long, log_seen double, symbols binary, rest array<string>, rest_n array<int>")
 
 
-def _coded(out: dict) -> pa.RecordBatch:
-    kinds = {"held_out": pa.bool_(), "log_seen": pa.float64(), "symbols": pa.binary(), "rest_n": pa.list_(pa.int32())}
-    cols = [pa.array(v, pa.list_(pa.binary())).cast(pa.list_(pa.string())) if k == "rest" else pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
-    return pa.RecordBatch.from_arrays(cols, list(out))
+def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Sequences that are worked on together, longest first: (their places, their symbols by stretch).
 
-
-def segments(sequences: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded segments, the tokens in each, and the sequence each comes from; in order."""
-    n = [-(-len(s) // length) for s in sequences]
-    flat = np.zeros((sum(n), length), np.int64)
-    size = np.full(sum(n), length)
+    Stretch r has one row for each token and one column for each sequence that goes on so far, and -1 behind a sequence's end.
+    """
+    size = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
     at = 0
-    for s, k in zip(sequences, n, strict=True):
-        flat[at : at + k].reshape(-1)[: len(s)] = s
-        if k:
-            size[at + k - 1] = len(s) - (k - 1) * length
-        at += k
-    return flat, size, np.repeat(np.arange(len(n)), n)
-
-
-def expect(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, inner, moves, emissions) by forward and backward recursion over training segments."""
+    while at < len(order):
+        n = max(1, int(np.searchsorted(np.cumsum(size[order[at:]]), BLOCK_TOKENS, "right")))
+        mine = order[at : at + n]
+        flat = np.concatenate([sequences[i] for i in mine]).astype(np.int64)
+        begin = np.cumsum(size[mine]) - size[mine]
+        out = []
+        for r in range(-(-int(size[mine[0]]) // STRETCH)):
+            on = int(np.searchsorted(-size[mine], -r * STRETCH, "left"))  # these have more than r * STRETCH tokens
+            t = r * STRETCH + np.arange(min(STRETCH, int(size[mine[0]]) - r * STRETCH))[:, None]
+            inside = t < size[mine[:on]]
+            out.append(np.where(inside, flat[np.minimum(begin[:on] + t, len(flat) - 1)], -1))
+        yield mine, out
+        at += n
+
+
+def _emitted(m: Model, x: np.ndarray) -> np.ndarray:
+    """Emission probabilities (token, state, sequence), 1 behind a sequence's end."""
+    e = np.empty((x.shape[0], m.move.shape[0], x.shape[1]))
+    wide = np.vstack([m.emit, np.ones(m.emit.shape[1])])
+    for i in range(e.shape[1]):
+        e[:, i, :] = np.ascontiguousarray(wide[:, i])[x]
+    return e
+
+
+def _forward(m: Model, e: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values of a stretch and their scales; now: what its first tokens are emitted from."""
+    alpha, scale, back, moved = np.empty_like(e), np.empty((e.shape[0], e.shape[2])), np.ascontiguousarray(m.move.T), np.empty(e.shape[1:])
+    for t, (a, s) in enumerate(zip(alpha, scale, strict=True)):
+        np.multiply(np.matmul(back, now, out=moved) if t else now, e[t], out=a)
+        np.add.reduce(a, axis=0, out=s)
+        a /= s
+        now = a
+    return alpha, scale
+
+
+def expect(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (start, moves, emissions) of whole sequences by forward and backward recursion.
+
+    Of a sequence longer than a block, forward values are kept at the borders of stretches only and computed
+    again on the way back, so memory does not grow with a text's length beyond its symbols.
+    """
     k, n_sym = m.move.shape[0], m.emit.shape[0]
-    total = [np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((n_sym, k))]
-    seg, size, owner = segments(sequences, TRAIN_SEGMENT)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    step = BLOCK_TOKENS // TRAIN_SEGMENT
-    for a in range(0, len(seg), step):
-        x, n, f = seg[a : a + step].T, size[a : a + step], first[a : a + step]
-        there = np.arange(TRAIN_SEGMENT)[:, None] < n
-        e = m.emit[x]
-        e[~there] = 1.0
-        alpha, scale = np.empty_like(e), np.empty(x.shape)
-        now = np.where(f[:, None], m.start, m.inner)
-        for t in range(TRAIN_SEGMENT):
-            now = (now if t == 0 else now @ m.move) * e[t]
-            scale[t] = now.sum(1)
-            now = now / scale[t][:, None]
-            alpha[t] = now
-        ahead = np.empty_like(e)  # emission times backward value, scaled: what a move into t leads to
-        beta = np.ones_like(now)
-        gamma = np.empty_like(e)
-        for t in range(TRAIN_SEGMENT - 1, -1, -1):
-            gamma[t] = alpha[t] * beta
-            ahead[t] = e[t] * beta / scale[t][:, None]
-            beta = ahead[t] @ m.move.T
-        total[0] += gamma[0][f].sum(0)
-        total[1] += gamma[0][~f].sum(0)
-        into = there[1:].reshape(-1)
-        total[2] += m.move * (alpha[:-1].reshape(-1, k)[into].T @ ahead[1:].reshape(-1, k)[into])
-        keep, g = x[there], gamma[there]
-        for i in range(k):
-            total[3][:, i] += np.bincount(keep, g[:, i], minlength=n_sym)
-    return tuple(total)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((n_sym, k))
+    for _, parts in blocks(sequences):
+        into, last, held = [np.repeat(m.start[:, None], parts[0].shape[1], 1)], [], []
+        small = sum(x.size for x in parts) <= 2 * BLOCK_TOKENS
+        for r, x in enumerate(parts):
+            held.append((e := _emitted(m, x), *_forward(m, e, into[r])))
+            last.append(held[r][1][-1].copy())
+            if not small:
+                held[r] = None
+            if r + 1 < len(parts):
+                into.append(m.move.T @ last[r][:, : parts[r + 1].shape[1]])
+        beta = np.ones((k, parts[-1].shape[1]))
+        for r in range(len(parts) - 1, -1, -1):
+            x = parts[r]
+            e, alpha, scale = held.pop() or (e := _emitted(m, x), *_forward(m, e, into[r]))
+            if beta.shape[1] < x.shape[1]:  # sequences that end in this stretch
+                beta = np.concatenate([beta, np.ones((k, x.shape[1] - beta.shape[1]))], 1)
+            there, ahead = x >= 0, np.empty_like(beta)
+            whole = there.all(1).tolist()
+            for t in range(len(x) - 1, -1, -1):
+                np.multiply(e[t], beta, out=ahead)
+                ahead /= scale[t]
+                np.multiply(alpha[t], beta, out=e[t])
+                before = alpha[t - 1] if t else (last[r - 1][:, : x.shape[1]] if r else None)
+                if before is not None:
+                    move += (before if whole[t] else before * there[t]) @ ahead.T
+                np.matmul(m.move, ahead, out=beta)
+            if r == 0:
+                start += e[0].sum(1)
+            keep = x[there]
+            for i in range(k):
+                emit[:, i] += np.bincount(keep, e[:, i, :][there], minlength=n_sym)
+    return start, m.move * move, emit
 
 
 def maximise(counts: tuple, unigram: np.ndarray, weight: float = 50.0) -> Model:
     """The model of these expected counts, smoothed towards even starts and moves and the unigram emissions."""
-    start, inner, move, emit = counts
+    start, move, emit = counts
     share = lambda v: (v + 1.0) / (v.sum(-1, keepdims=True) + v.shape[-1])
-    return Model(share(start), share(inner), share(move), (emit + weight * unigram[:, None]) / (emit.sum(0) + weight))
+    return Model(share(start), share(move), (emit + weight * unigram[:, None]) / (emit.sum(0) + weight))
 
 
-def first_model(states: int, unigram: np.ndarray, sample: list[np.ndarray], rounds: int, seed: int) -> Model:
-    """A start for the training proper: a few rounds on a bounded sample, from seeded noise about the unigram."""
+def first_model(states: int, unigram: np.ndarray, seed: int) -> Model:
+    """A start for training: emissions of seeded noise about the unigram, and states that mostly stay."""
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * rng.uniform(0.5, 1.5, (len(unigram), states))
     move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    m = Model(np.full(states, 1 / states), np.full(states, 1 / states), move, emit / emit.sum(0))
-    for _ in range(rounds if sample else 0):
-        m = maximise(expect(m, sample), unigram)
-    return m
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def train_round(coded: DataFrame, m: Model, unigram: np.ndarray) -> Model:
@@ -201,74 +241,52 @@ def train_round(coded: DataFrame, m: Model, unigram: np.ndarray) -> Model:
     def run(batches):
         total = None
         for b in batches:
-            seqs = [np.frombuffer(x, np.uint16) for x in b[0].to_pylist()]
-            part = expect(shared.value, seqs)
-            total = part if total is None else tuple(x + y for x, y in zip(total, part, strict=True))
+            part = np.vstack(expect(shared.value, [np.frombuffer(x, np.uint16) for x in b[0].to_pylist()]))
+            total = part if total is None else total + part
         if total is not None:
-            rows = np.vstack([total[0], total[1], total[2], total[3]])
-            used = np.flatnonzero(rows.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(rows[used, i]) for i in range(k)]], ["i", *[f"s{i}" for i in range(k)]])
+            used = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(total[used, i]) for i in range(k)]], ["i", *[f"s{i}" for i in range(k)]])
 
     rows = coded.filter(~F.col("held_out")).select("symbols").mapInArrow(run, "i long, " + ", ".join(f"s{i} double" for i in range(k))).groupBy("i").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).collect()
-    all_rows = np.zeros((2 + k + n_sym, k))
+    all_rows = np.zeros((1 + k + n_sym, k))
     for r in sorted(rows, key=lambda r: r[0]):
         all_rows[r[0]] = r[1:]
     shared.unpersist()
-    return maximise((all_rows[0], all_rows[1], all_rows[2 : 2 + k], all_rows[2 + k :]), unigram)
+    return maximise((all_rows[0], all_rows[1 : 1 + k], all_rows[1 + k :]), unigram)
 
 
 def log_likelihoods(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of each sequence's exact probability under the model."""
-    k = m.move.shape[0]
-    seg, size, owner = segments(sequences, SCORE_SEGMENT)
-    n_doc = len(sequences)
-    vec, log = np.tile(m.start, (n_doc, 1)), np.zeros(n_doc)
-    # the k-th segment of every text, in order; long texts are the last to go on
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner) if len(owner) else owner
-    order, bounds = np.argsort(rank, kind="stable"), np.append(0, np.cumsum(np.bincount(rank))) if len(rank) else np.zeros(1, int)
-    step = max(1, BLOCK_TOKENS // SCORE_SEGMENT)
-    mats, logs = np.empty((len(seg), k, k)), np.zeros(len(seg))
-    for a in range(0, len(seg), step):
-        x, n = seg[a : a + step].T, size[a : a + step]
-        e = m.emit[x]
-        e[np.arange(SCORE_SEGMENT)[:, None] >= n] = 1.0
-        there = np.arange(SCORE_SEGMENT)[:, None] < n
-        cur = np.eye(k)[None] * e[0][:, None, :]
-        for t in range(1, SCORE_SEGMENT):
-            nxt = (cur.reshape(-1, k) @ m.move).reshape(cur.shape) * e[t][:, None, :]
-            cur = nxt if there[t].all() else np.where(there[t][:, None, None], nxt, cur)
-            if t % 8 == 7:
-                top = cur.max((1, 2))
-                logs[a : a + step] += np.log(top)
-                cur = cur / top[:, None, None]
-        mats[a : a + step] = cur
-    for r in range(rank.max() + 1 if len(rank) else 0):
-        at = order[bounds[r] : bounds[r + 1]]
-        d = owner[at]
-        v = vec[d] if r == 0 else vec[d] @ m.move
-        v = np.einsum("ni,nij->nj", v, mats[at])
-        top = v.sum(1)
-        vec[d] = v / top[:, None]
-        log[d] += np.log(top) + logs[at]
-    return log / np.log(10)
+    out, back = np.zeros(len(sequences)), np.ascontiguousarray(m.move.T)
+    for mine, parts in blocks(sequences):
+        now = np.repeat(m.start[:, None], len(mine), 1)
+        for r, x in enumerate(parts):
+            e = _emitted(m, x)
+            now = now[:, : x.shape[1]]
+            for t in range(len(x)):
+                now = (back @ now if t or r else now) * e[t]
+                if t % 8 == 7 or t == len(x) - 1:
+                    total = now.sum(0)
+                    out[mine[: x.shape[1]]] += np.log10(total)
+                    now = now / total
+    return out
 
 
 def score(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 6, frequent: int = 4096, shapes: int = 1024,
-    looked_up: int = 131_072, rounds: int = 2, sample_docs: int = 1024, sample_tokens: int = 2048, sample_rounds: int = 12, seed: int = 1,
+    looked_up: int = 131_072, rounds: int = 6, seed: int = 1,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (the model), both log10.
 
     frequent, shapes and looked_up bound what is broadcast. Counts of words beyond the looked_up most
-    frequent come by a join, in which no key is hot. The first model is fitted on at most sample_docs
-    texts of at most sample_tokens tokens; the rounds that make the model use every training text whole.
+    frequent come by a join, in which no key is hot. Every round uses every training text whole.
     """
     if frequent + shapes > 1 << 16:
         raise ValueError("frequent + shapes must fit 16 bits")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = stored(count_words(rows.filter(~F.col("held_out"))), "lm-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     # the looked-up words are those of the highest counts, cut where a fine logarithmic class of counts would pass the bound
     counts = counts.withColumn("high", F.floor(16 * F.log2("c")))
     cut, have = None, 0
@@ -279,6 +297,7 @@ def score(
     cut = 1 << 20 if cut is None else cut
     top = sorted(counts.filter(F.col("high") >= cut).select("word", "c").collect(), key=lambda r: (-r[1], r[0]))
     lookup = {r[0].encode(): (i if i < frequent else -1, r[1]) for i, r in enumerate(top)}
+    lookup.setdefault(END.encode(), (-1, ends))  # encode() has no list entry for the ends
     own = [r[0] for r in top[:frequent]]
     rare = counts.filter(F.col("high") < cut)
     # N and V of each shared symbol: those of all words less those of the frequent ones
@@ -292,10 +311,7 @@ def score(
     coded = stored(encode(rows, held, frequent, shapes), "lm-coded")
     mass = np.concatenate([[lookup[w.encode()][1] for w in own], np.zeros(frequent - len(own)), by_shape[:, 0]])
     unigram = (mass + 1) / (mass.sum() + len(mass))
-    texts = lookup.get(END.encode(), (0, 0))[1]
-    few = F.pmod(F.xxhash64("key"), F.lit(max(1, texts // (4 * sample_docs)))) == 0  # about four times the sample, before it is cut
-    picked = coded.filter(few & ~F.col("held_out") & (F.col("n_tokens") <= sample_tokens)).orderBy(F.xxhash64("key"), "key").limit(sample_docs).select("symbols").collect()
-    m = first_model(states, unigram, [np.frombuffer(r[0], np.uint16) for r in picked], sample_rounds, seed)
+    m = first_model(states, unigram, seed)
     for _ in range(rounds):
         m = train_round(coded, m, unigram)
     model, own_codes = spark.sparkContext.broadcast(m), frequent

@@ -28,7 +28,7 @@ def plain_forward(m, seq):
 
 def random_model(rng, k=3, n=11):
     share = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.05)
-    return hm.Model(share(k), share(k), share(k, k), share(k, n).T.copy())
+    return hm.Model(share(k), share(k, k), share(k, n).T.copy())
 
 
 def test_exact_likelihood():
@@ -40,23 +40,51 @@ def test_exact_likelihood():
     assert abs(short - 1) < 1e-9
 
 
-def test_expected_counts():
+def plain_counts(m, seq):
+    """Expected counts of one sequence by textbook recursions over all of it."""
+    k, n = len(m.start), len(seq)
+    a, b = np.empty((n, k)), np.ones((n, k))
+    for t, s in enumerate(seq):
+        a[t] = (m.start if t == 0 else a[t - 1] @ m.move) * m.emit[s]
+        a[t] /= a[t].sum()
+    for t in range(n - 2, -1, -1):
+        b[t] = m.move @ (m.emit[seq[t + 1]] * b[t + 1])
+        b[t] /= b[t].sum()
+    g = a * b
+    g /= g.sum(1, keepdims=True)
+    move, emit = np.zeros((k, k)), np.zeros_like(m.emit)
+    for t in range(n - 1):
+        x = a[t][:, None] * m.move * (m.emit[seq[t + 1]] * b[t + 1])[None, :]
+        move += x / x.sum()
+    np.add.at(emit, seq, g)
+    return g[0], move, emit
+
+
+def test_expected_counts(monkeypatch):
+    """A round over stretches equals one over whole sequences, whatever is worked on together."""
     rng = np.random.default_rng(3)
-    m = random_model(rng, 2, 4)
-    seqs = [rng.integers(0, 4, n) for n in (1, 7, 128, 130)]
-    start, inner, move, emit = hm.expect(m, seqs)
-    assert abs(start.sum() - 4) < 1e-9 and abs(inner.sum() - 1) < 1e-9 and abs(emit.sum() - 266) < 1e-9 and abs(move.sum() - (0 + 6 + 127 + 127 + 1)) < 1e-9
-    # counts of a short sequence by listing all state paths
-    s = np.array([0, 2, 1])
-    total, want = 0.0, np.zeros((2, 2))
-    for a in range(2):
-        for b in range(2):
-            for c in range(2):
-                p = m.start[a] * m.emit[0, a] * m.move[a, b] * m.emit[2, b] * m.move[b, c] * m.emit[1, c]
-                total += p
-                want[a, b] += p
-                want[b, c] += p
-    assert np.allclose(hm.expect(m, [s])[2], want / total)
+    m = random_model(rng, 3, 7)
+    seqs = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 7, 128, 130, 0, 700, 256, 129, 384, 2)]
+    want = [sum(c) for c in zip(*[plain_counts(m, s) for s in seqs if len(s)], strict=True)]
+    for most in (1 << 20, 300, 1):
+        monkeypatch.setattr(hm, "BLOCK_TOKENS", most)
+        for got, w in zip(hm.expect(m, seqs), want, strict=True):
+            assert np.allclose(got, w, rtol=1e-9, atol=1e-9)
+        assert np.allclose(hm.log_likelihoods(m, [s for s in seqs if len(s)]), [plain_forward(m, s) for s in seqs if len(s)], rtol=1e-10)
+
+
+def test_words_in_blocks(monkeypatch):
+    """Arrow's words are those of tokens()."""
+    import pyarrow as pa
+
+    texts = ["A b  C", None, "", " \x0b\x0c x\ty\n", "É ÀB \x00 \x1c q\u00a0r \u2003 Z", "  ", "Ünïcode ẞ İI", "x" * 50]
+    for most in (16 << 20, 5):
+        monkeypatch.setattr(hm, "BLOCK_BYTES", most)
+        got = [[] for _ in texts]
+        for a, row, w in hm.word_blocks(pa.array(texts)):
+            for r, x in zip(row, w.to_pylist(), strict=True):
+                got[a + r].append(x.encode())
+        assert got == [hm.tokens(t)[:-1] for t in texts]
 
 
 def test_training_raises_likelihood():
@@ -70,7 +98,7 @@ def test_training_raises_likelihood():
             z = rng.choice(2, p=true.move[z])
         seqs.append(np.array(out))
     uni = np.bincount(np.concatenate(seqs), minlength=6) / 3000
-    m, last = hm.first_model(2, uni, [], 0, 1), -1e9
+    m, last = hm.first_model(2, uni, 1), -1e9
     for _ in range(5):
         now = hm.log_likelihoods(m, seqs).sum()
         assert now > last - 1e-6
@@ -90,7 +118,7 @@ def test_base(request, name):
     docs = request.getfixturevalue(name)
     want = sorted(base([(r.doc_id, r.text) for r in docs.collect()]), key=repr)
     for looked_up in (5, 131_072):  # most counts by the join, or none
-        out = hm.score(docs, held(), looked_up=looked_up, frequent=min(4, looked_up), shapes=16, rounds=1, sample_rounds=2).collect()
+        out = hm.score(docs, held(), looked_up=looked_up, frequent=min(4, looked_up), shapes=16, rounds=1).collect()
         got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out), key=repr)
         assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5] for g in got], [w[5] for w in want])
         assert all(math.isfinite(r.score) and r.score < 0 for r in out)

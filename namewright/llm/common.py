@@ -17,9 +17,11 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only where none is set and all run on this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not getattr(spark, "_own_shared_dir", None):
             spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="namewright-")
         d = spark._own_shared_dir

@@ -6,8 +6,8 @@ Counting rules (length, repeated windows of eight words) stand before it.
 
 Defined results: a null text counts as empty, has no words and fails; a null or unlisted language has
 no reference, so only the counting rules and the minimum-length guards decide; repeated rows are
-judged each on its own; an empty table gives an empty result; further columns are left alone (those
-whose names clash with a result's are replaced by it). Texts of any length are read whole.
+judged each on its own; an empty table gives an empty result; further columns are not read and not
+returned. Texts of any length are read whole.
 """
 
 from __future__ import annotations

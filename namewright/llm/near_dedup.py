@@ -162,14 +162,16 @@ def load_words(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
     return found.join(ends, "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str]) -> DataFrame:
-    """Likely links between members of different components within the buckets of rest (key, band, digest, n, root).
+def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str], most: int | None = 16) -> DataFrame:
+    """Likely links (a, b, root_a, root_b, more) between members of different components within the buckets of rest (key, band, digest, n, root).
 
     In each bucket the members outside its largest component meet all its members. Both sides are dealt
     in chunks, so a bucket of any size is worked through in blocks of at most some CHUNKS rows, and no
-    pair leaves a block but likely links: of each two components the first 16 found, as one true link joins
-    the two and each is false only by a collision of hashes. A pair is looked at in its first common band only; it must survive the sequential comparison and the intersection of its whole
-    sets, hashed to 64 bits: 100,000 shingles have a collision with a probability of about 3e-10. confirm() has the last word.
+    pair leaves a block but likely links: of each two components the first ``most`` found, as one true link
+    joins the two; more says that there are others, and all_cross_links() takes those where none of the
+    first is true. A pair is looked at in its first common band only; it must survive the sequential
+    comparison and the intersection of its whole sets, hashed to 64 bits: 100,000 shingles have a
+    collision with a probability of about 3e-10. confirm() has the last word.
     """
     n_hashes, needed = bands * rows, least_matches(bands * rows, percent / 100, miss, BATCH)
     counted = rest.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("n").alias("n"))
@@ -231,10 +233,10 @@ def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, per
                 both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[part])[:-1]]))
                 for j in part[100 * both >= percent * (len(mine) + size[part] - both)]:
                     pair = (min(rx[i], ry[j]), max(rx[i], ry[j]))
-                    if taken.get(pair, 0) < 16:
-                        taken[pair] = taken.get(pair, 0) + 1
-                        found.append((out[i]["digest"], everyone[j]["digest"]))
-        return found
+                    taken[pair] = taken.get(pair, 0) + 1
+                    if most is None or taken[pair] <= most:
+                        found.append((out[i]["digest"], everyone[j]["digest"], pair))
+        return [(a, b, names[pair[0]], names[pair[1]], most is not None and taken[pair] > most) for a, b, pair in found]
 
     def run(batches):
         block, last = [], None
@@ -251,11 +253,25 @@ def cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, per
             yield _pairs(solve(block))
 
     dealt = entries.select("block", "band", "digest", "root", "out", "sig", "shingles").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(run, "a binary, b binary, root_a binary, root_b binary, more boolean").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "root_a", "root_b").agg(F.bool_or("more").alias("more"))
 
 
 def _pairs(found: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+    cols = list(zip(*found, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in cols[:4]], pa.array(cols[4], pa.bool_())], ["a", "b", "root_a", "root_b", "more"])
+
+
+def all_cross_links(rest: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str], most: int = 16) -> DataFrame:
+    """Confirmed links (a, b) of cross_links(). Where a block had more likely links of two components than it gave out and none is true, all of them are tried."""
+    likely = stored(cross_links(rest, texts, nodes, k, percent, bands, rows, miss, scratch, most), "dedup-likely", scratch)
+    linked = stored(confirm(likely.select("a", "b"), texts, k, percent), "dedup-links", scratch)
+    ends = ["root_a", "root_b"]
+    left = stored(likely.filter("more").select(*ends).distinct().join(likely.join(linked, ["a", "b"]).select(*ends), ends, "left_anti"), "dedup-open", scratch)
+    if left.isEmpty():
+        return linked
+    again = rest.join(left.select(F.explode(F.array(*ends)).alias("root")).distinct(), "root", "left_semi")
+    every = cross_links(again, texts, nodes, k, percent, bands, rows, miss, scratch, None).join(left, ends, "left_semi")
+    return linked.union(stored(confirm(stored(every, "dedup-likely", scratch).select("a", "b"), texts, k, percent), "dedup-links", scratch))
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, scratch: list[str]) -> DataFrame:
@@ -283,8 +299,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, bands: int, r
     rest = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", "n", F.coalesce("root", "digest").alias("root"))
     split = stored(rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "dedup-split", scratch)
     rest = stored(rest.join(split, "key"), "dedup-rest", scratch)
-    likely = stored(cross_links(rest, texts, nodes, k, percent, bands, rows, miss, scratch), "dedup-likely", scratch)
-    return found.union(stored(confirm(likely, texts, k, percent), "dedup-links", scratch))
+    return found.union(all_cross_links(rest, texts, nodes, k, percent, bands, rows, miss, scratch))
 
 
 def dedup(

@@ -81,6 +81,28 @@ def test_family_about_the_threshold(spark, monkeypatch):
     check(spark.createDataFrame(family(2, 120, [5, 8, 10]), SCHEMA), 2)
 
 
+def test_links_past_the_limit(spark, monkeypatch):
+    """Where no link that a block gave out first is true, all its likely links are tried."""
+    docs = spark.createDataFrame([(r[0], r[1]) for r in family(3, 40, [1, 2])], "doc_id long, text string")
+    nodes = nd.sign(docs, 1, nd.BANDS * nd.ROWS).selectExpr("digest", "doc_id AS least", "n", "sig").cache()
+    rest = nodes.selectExpr("1L AS key", "0 AS band", "digest", "n", "unhex(lpad(hex(least % 2), 2, '0')) AS root")
+    texts = nd.load_words(docs, nodes, nodes.select("digest")).cache()
+    confirm, calls = nd.confirm, []
+    given = nd.cross_links(rest, texts, nodes, 1, 80, nd.BANDS, nd.ROWS, nd.MISS, [], 3)
+    assert given.count() == 3 and given.filter("more").count() == 3
+    every = confirm(nd.cross_links(rest, texts, nodes, 1, 80, nd.BANDS, nd.ROWS, nd.MISS, [], None).select("a", "b"), texts, 1, 80).count()
+
+    def fails_at_first(pairs, *a):
+        calls.append(pairs.count())
+        return confirm(pairs, *a).limit(0) if len(calls) == 1 else confirm(pairs, *a)
+
+    monkeypatch.setattr(nd, "confirm", fails_at_first)
+    out = nd.all_cross_links(rest, texts, nodes, 1, 80, nd.BANDS, nd.ROWS, nd.MISS, [], 3)
+    assert calls[0] == 3 and out.count() == every > 100
+    monkeypatch.setattr(nd, "confirm", confirm)
+    assert nd.all_cross_links(rest, texts, nodes, 1, 80, nd.BANDS, nd.ROWS, nd.MISS, [], 3).count() == 3
+
+
 def test_empty(none):
     assert nd.dedup(none).count() == 0
 

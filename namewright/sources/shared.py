@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a local folder only where none is set and all run on this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not getattr(spark, "_own_shared_dir", None):
             spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="namewright-")

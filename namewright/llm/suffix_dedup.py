@@ -10,7 +10,8 @@ exact way instead: its windows are counted one by one, pre-aggregated.
 
 Defined results: a null text is empty; texts below window bytes lose nothing; repeated rows repeat each
 other and lose all windows; rows are told apart by 128 bits of their id and text; null ids stay; an
-empty table gives an empty result; further columns are not read. Texts are read whole.
+empty table gives an empty result; further columns are carried along whatever their names, but those
+named as a result are replaced by it. Texts are read whole.
 Windows and runs are equal where two independent 64-bit hashes are; suffix sorting compares bytes.
 """
 
@@ -172,17 +173,18 @@ def covered(at: list, window: int) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int | None = None, max_contexts: int = 8192, as_text: bool = False) -> DataFrame:
-    """One row for each row of docs: all its columns, then n_bytes, spans (removed bytes, array of lo, hi), kept (the other bytes).
+    """One row for each row of docs: its columns, then n_bytes, spans (removed bytes, array of lo, hi), kept (the other bytes).
 
     With as_text kept is a string, without the bytes of characters that a cut went through.
     """
     gram = gram or max(1, window // 4)
-    mine = ["_u1", "_u2", "_at", "n_bytes", "spans", "kept"]
-    base = docs.drop(*[c for c in docs.columns if c in mine])
-    columns, text_field = base.columns, text_col
-    keyed = base.withColumns({"_u1": F.xxhash64(F.col(id_col), F.col(text_col)), "_u2": F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col))})
+    names = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
+    columns = [f"c{i}" for i in range(len(names))]
+    id_field, text_field = columns[names.index(id_col)], columns[names.index(text_col)]
+    base = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, columns, strict=True)])
+    keyed = base.withColumns({"_u1": F.xxhash64(F.col(id_field), F.col(text_field)), "_u2": F.xxhash64(F.col(text_field), F.lit(1), F.col(id_field))})
     scratch: list[str] = []
-    starts = repeated_starts(keyed.select(F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), F.col(text_col).alias("text")), window, gram, max_contexts, scratch)
+    starts = repeated_starts(keyed.select(F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), F.col(text_field).alias("text")), window, gram, max_contexts, scratch)
     at = starts.groupBy(F.col("u1").alias("_u1"), F.col("u2").alias("_u2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_at"))
     at = stored(at, "suffix-intervals")
     drop_scratch(docs.sparkSession, scratch)
@@ -201,4 +203,5 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     # intervals grow with the corpus: a merge join at every size, so that small runs show what large ones cost
-    return keyed.join(at.hint("merge"), ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")
+    out = keyed.join(at.hint("merge"), ["_u1", "_u2"], "left").drop("_u1", "_u2").mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")
+    return out.toDF(*names, "n_bytes", "spans", "kept")

@@ -2,13 +2,16 @@
 
 Labelled texts give the categories, in the order of the chain: ``insult`` (toxic with a word that the
 labelled texts show to be abusive), ``severe`` (toxic with three such words or more) and ``toxic`` (the
-label). Each category has a linear model over the presence of selected words and word beginnings and
-over the probabilities of the categories before it; in training these come out of fold, so that later
-models learn to use predictions and not the truth.
+label). Each category has a linear model over its own view of a text and over the probabilities of the
+categories before it; in training these come out of fold, so that later models learn to use
+predictions and not the truth. The views differ, so that each link adds what the next does not see:
+``insult`` sees which selected words and word beginnings are there, ``severe`` how many abusive words
+there are, alone and for the text's length, and ``toxic`` the words again with both probabilities.
 
 Defined results: a null text has no words and gets the models' base rates; without labels of both
-kinds all probabilities are the smoothed label rate; repeated rows are scored each on its own; null ids stay; an
-empty table gives an empty result; further columns are not read. Texts are read whole.
+kinds all probabilities are the smoothed label rate; an id with several labels is toxic if any says
+so; repeated rows are scored each on its own; null ids stay; an empty table gives an empty result;
+further columns are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ CATEGORIES = ("insult", "severe", "toxic")
 #: Beginnings of words that are features beside whole words.
 PREFIXES = (4, 5)
 FOLDS = 5
+#: Numbers that the second view holds: abusive words (up to MOST), the text's length in words by powers of two, and their ratio.
+COUNTS, MOST = 3, 8
 _WORD = re.compile(r"\w+")
 
 
@@ -73,25 +78,32 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.5, round
     return w
 
 
+def counts_view(n_abusive: int, n_words: int) -> tuple[float, float, float]:
+    n, size = float(min(n_abusive, MOST)), float(n_words.bit_length())
+    return n, size, n / (1 + size)
+
+
 @dataclass
 class Chain:
     index: dict[str, int] = field(default_factory=dict)
     models: list[np.ndarray] = field(default_factory=list)
+    views: list[slice] = field(default_factory=list)  # the columns that each link sees
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the categories, in order, for rows of features."""
         out = np.empty((len(x), len(self.models)))
-        for i, w in enumerate(self.models):
-            z = x @ w[: len(self.index)] + out[:, :i] @ w[len(self.index) : -1] + w[-1]
+        for i, (w, view) in enumerate(zip(self.models, self.views, strict=True)):
+            n = x[:, view].shape[1]
+            z = x[:, view] @ w[:n] + out[:, :i] @ w[n:-1] + w[-1]
             out[:, i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
-def train_chain(index: dict[str, int], x: np.ndarray, targets: np.ndarray, folds: np.ndarray, weight: np.ndarray) -> Chain:
+def train_chain(index: dict[str, int], x: np.ndarray, targets: np.ndarray, folds: np.ndarray, weight: np.ndarray, views: list[slice] | None = None) -> Chain:
     """targets: rows by categories. Earlier probabilities are features, out of fold while training."""
-    chain, before = Chain(index), np.empty((len(x), 0))
+    chain, before = Chain(index, views=views or [slice(None)] * targets.shape[1]), np.empty((len(x), 0))
     for i in range(targets.shape[1]):
-        seen, out = np.column_stack([x, before]), np.empty(len(x))
+        seen, out = np.column_stack([x[:, chain.views[i]], before]), np.empty(len(x))
         for f in range(FOLDS):
             w = fit(seen[folds != f], targets[folds != f, i], weight[folds != f])
             out[folds == f] = 1 / (1 + np.exp(-np.clip(np.column_stack([seen[folds == f], np.ones((folds == f).sum())]) @ w, -30, 30)))
@@ -100,10 +112,15 @@ def train_chain(index: dict[str, int], x: np.ndarray, targets: np.ndarray, folds
     return chain
 
 
+def _views(n: int) -> list[slice]:
+    return [slice(0, n), slice(n, n + COUNTS), slice(0, n)]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_features: int = 512, least_docs: int = 3) -> Chain:
-    """Fits on the labelled documents, at most max_labelled of them, chosen by a hash of the id; that bounds what is broadcast and collected."""
+    """Fits on the labelled documents, at most max_labelled of them, chosen by a hash of the id; that bounds the ids that are broadcast and, where an id has several rows, the rows that are collected."""
     spark = docs.sparkSession
-    picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).dropna().orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("_id").agg(F.max("y").alias("y"))
+    picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")
     sizes = dict(labelled.groupBy("y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -115,22 +132,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     abuse = spark.sparkContext.broadcast(index)
 
     def run(batches):
+        whole, begin = split_index(abuse.value)
         for b in batches:
-            seen, words = [], []
+            seen, n_abusive, size = [], [], []
             for text in b[1].to_pylist():
-                found = sorted(abuse.value[x] for x in features(text) if x in abuse.value)
-                seen.append(found)
-                words.append(sum(1 for w in _WORD.findall((text or "").lower()) if w in abuse.value or any(w[:n] + "*" in abuse.value for n in PREFIXES if len(w) > n)))
-            yield pa.RecordBatch.from_arrays([b[0], b[2], pa.array(seen, pa.list_(pa.int32())), pa.array(words, pa.int32())], ["_id", "y", "seen", "words"])
-
-    rows = labelled.select("_id", "text", "y").mapInArrow(run, "_id long, y int, seen array<int>, words int").collect()
-    same: Counter = Counter((tuple(r["seen"]), int(r["y"] and r["words"] > 0), int(r["y"] and r["words"] >= 3), r["y"], zlib.crc32(str(r["_id"]).encode()) % FOLDS) for r in rows)
+                found, n, n_words = look(text, whole, begin)
+                seen.append(sorted(found))
+                n_abusive.append(min(n, MOST))
+                size.append(n_words)
+            yield pa.RecordBatch.from_arrays([b[0], b[2], pa.array(seen, pa.list_(pa.int32())), pa.array(n_abusive, pa.int32()), pa.array(size, pa.int64())], ["_id", "y", "seen", "n_abusive", "size"])
+
+    rows = labelled.select("_id", "text", "y").mapInArrow(run, "_id long, y int, seen array<int>, n_abusive int, size long")
+    rows = rows.orderBy(F.xxhash64("_id", "seen", "size"), "_id", "size", "seen").limit(max_labelled).collect()
+    # rows that look the same are one row with their number as its weight
+    same: Counter = Counter((tuple(r["seen"]), counts_view(r["n_abusive"], r["size"]), r["n_abusive"], r["y"], zlib.crc32(str(r["_id"]).encode()) % FOLDS) for r in rows)
     keys = sorted(same)
-    x = np.zeros((len(keys), len(index)))
+    x = np.zeros((len(keys), len(index) + COUNTS))
     for i, k in enumerate(keys):
         x[i, list(k[0])] = 1.0
-    targets = np.array([k[1:4] for k in keys], float).reshape(-1, len(CATEGORIES))
-    return train_chain(index, x, targets, np.array([k[4] for k in keys], int), np.array([same[k] for k in keys], float))
+        x[i, len(index) :] = k[1]
+    targets = np.array([(k[3] and k[2] > 0, k[3] and k[2] >= 3, k[3]) for k in keys], float).reshape(-1, len(CATEGORIES))
+    return train_chain(index, x, targets, np.array([k[4] for k in keys], int), np.array([same[k] for k in keys], float), _views(len(index)))
+
+
+def split_index(index: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+    """Whole words, and beginnings without their mark."""
+    return {k: i for k, i in index.items() if not k.endswith("*")}, {k[:-1]: i for k, i in index.items() if k.endswith("*")}
+
+
+def look(text: str | None, whole: dict[str, int], begin: dict[str, int]) -> tuple[set[int], int, int]:
+    """The features of a text, how many of its words are abusive, and how many words it has."""
+    every = _WORD.findall((text or "").lower())
+    words = set(every)
+    found = {whole[w] for w in whole.keys() & words}
+    for n in PREFIXES:
+        found |= {begin[p] for p in begin.keys() & {w[:n] for w in words if len(w) > n}}
+    n_abusive = sum(w in whole or any(w[:n] in begin for n in PREFIXES if len(w) > n) for w in every) if found else 0
+    return found, n_abusive, len(every)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -139,18 +177,16 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         c = shared.value
-        whole = {k: i for k, i in c.index.items() if not k.endswith("*")}
-        begin = {k[:-1]: i for k, i in c.index.items() if k.endswith("*")}
-        for b in batches:
-            x = np.zeros((b.num_rows, len(c.index)))
-            for i, text in enumerate(b[1].to_pylist()):
-                words = set(_WORD.findall((text or "").lower()))
-                for w in whole.keys() & words:
-                    x[i, whole[w]] = 1.0
-                for n in PREFIXES:
-                    for p in begin.keys() & {w[:n] for w in words if len(w) > n}:
-                        x[i, begin[p]] = 1.0
-            p = c.predict(x)
-            yield pa.RecordBatch.from_arrays([b[0], *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)], ["doc_id", *[f"p_{k}" for k in CATEGORIES], "is_toxic"])
+        whole, begin = split_index(c.index)
+        for t in batches:
+            for a in range(0, t.num_rows, 2048):
+                b = t.slice(a, 2048)
+                x = np.zeros((b.num_rows, len(c.index) + COUNTS))
+                for i, text in enumerate(b[1].to_pylist()):
+                    found, n_abusive, n_words = look(text, whole, begin)
+                    x[i, list(found)] = 1.0
+                    x[i, len(c.index) :] = counts_view(n_abusive, n_words)
+                p = c.predict(x)
+                yield pa.RecordBatch.from_arrays([b[0], *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)], ["doc_id", *[f"p_{k}" for k in CATEGORIES], "is_toxic"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, " + ", ".join(f"p_{k} double" for k in CATEGORIES) + ", is_toxic boolean")

@@ -1,6 +1,8 @@
 """op7: planted toxic texts are found, clean ones are not, and the chain trains out of fold."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -51,3 +53,64 @@ def test_chain_uses_earlier_predictions():
     assert len(chain.models[0]) == 4 and len(chain.models[1]) == 5 and chain.models[1][3] > 0
     p = chain.predict(np.array([[1.0, 0, 0], [0, 1.0, 1.0]]))
     assert p[0].min() > 0.5 > p[1].max()
+
+
+def plain_probabilities(chain, text):
+    """The chain by hand for one text."""
+    words = re.findall(r"\w+", (text or "").lower())
+    begins = lambda w: [w[:n] + "*" for n in tx.PREFIXES if len(w) > n]
+    here = {f for w in words for f in [w, *begins(w)]}
+    presence = [1.0 if f in here else 0.0 for f, _ in sorted(chain.index.items(), key=lambda kv: kv[1])]
+    n = min(tx.MOST, sum(any(f in chain.index for f in [w, *begins(w)]) for w in words))
+    size = len(bin(len(words))) - 2 if words else 0
+    out = []
+    for w, view in zip(chain.models, (presence, [n, size, n / (1 + size)], presence), strict=True):
+        z = sum(a * b for a, b in zip(w, [*view, *out, 1.0], strict=True))
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+@pytest.mark.parametrize("name", ["odd", "clashing", "sf"])
+def test_whole_results(request, spark, sf, name):
+    """Every row of the query's table against plain Python."""
+    if name == "sf":
+        d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    else:
+        d, lab = request.getfixturevalue(name), spark.createDataFrame([(r[0], r[1]) for r in data(2, 120)[1]], "doc_id long, toxic int")
+        d = d.select("doc_id", "text").union(spark.createDataFrame([(i, t) for i, t, *_ in data(2, 120)[0]], "doc_id long, text string"))
+    chain = tx.train(d, lab)
+    assert chain.index
+    got = sorted(((r.doc_id, r.p_insult, r.p_severe, r.p_toxic, r.is_toxic) for r in tx.score(d, chain).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    want = sorted(((r.doc_id, *plain_probabilities(chain, r.text)) for r in d.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:4] for g in got], [w[1:] for w in want], atol=1e-9)
+    assert all(g[4] == (w[3] >= 0.5) for g, w in zip(got, want, strict=True) if abs(w[3] - 0.5) > 1e-9)
+
+
+def test_links_add_what_the_last_model_does_not_see(spark):
+    """Where only the number of abusive words tells, the last model is better with the links than alone."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        n = rng.choice((0,) * 16 + (1, 4, 5))
+        w = [rng.choice(CLEAN) + str(rng.randrange(100)) for _ in range(30)]
+        for k in rng.sample(range(30), n):
+            w[k] = "idiot"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(n >= 4 or (n == 1 and rng.random() < 0.1))))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = tx.train(d, spark.createDataFrame(labels[:2000], "doc_id long, toxic int"))
+    got = {r.doc_id: r.p_toxic for r in tx.score(d, chain).collect()}
+    x, y = np.array([["idiot" in t.split()] for _, t in rows], float), np.array([v for _, v in labels], float)
+    alone = tx.fit(x[:2000], y[:2000], np.ones(2000))
+    p = 1 / (1 + np.exp(-(x[2000:, 0] * alone[0] + alone[1])))
+    loss = lambda p: -np.mean(y[2000:] * np.log(p) + (1 - y[2000:]) * np.log(1 - p))
+    with_links = loss(np.clip([got[i] for i in range(2000, 3000)], 1e-9, 1 - 1e-9))
+    assert with_links < 0.7 * loss(p)
+
+
+def test_very_long_text(spark):
+    d = spark.createDataFrame([(1, "tree " * 300_000 + "moron"), (2, "tree " * 300_000)], "doc_id long, text string")
+    rows, labels = data(4, 140)
+    chain = tx.train(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in tx.score(d, chain).collect()}
+    assert got[1].p_insult > got[2].p_insult and not got[2].is_toxic

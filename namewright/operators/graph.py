@@ -144,24 +144,24 @@ def best_first(triggers: DataFrame, identifiers: DataFrame, edges: DataFrame, re
     Each level is stored, so lineage stays short; nothing is collected but the next level's number.
     """
     ids = identifiers.select("id", "file", "name")
-    out_edges = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    levels: list[str] = []
+    # edges with what a step costs besides, worked out once
+    ends = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias("src"), F.col("file").alias("_a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("file").alias("_b")), "dst")
+    steps = stored(ends.select(F.col("src").alias("id"), F.col("dst").alias("to"), (~F.col("_a").eqNullSafe(F.col("_b"))).cast("int").alias("away")), "search-steps", levels)
     names = triggers.select("trigger_id", F.col("id").alias("own"), "old_name", "new_name")
     # pending holds a row for each (trigger, identifier) met so far: score falls until it is visited, and visited rows stay to shut out later ones
     pending = triggers.join(ids, "id", "left_semi").select("trigger_id", "id", F.lit(0).alias("score"), F.lit(False).alias("visited"))
-    found, levels, scratch = None, [], []
+    found, scratch = None, []
     level = 0
     while level is not None and level < most_score:
         current = pending.filter((F.col("score") == level) & ~F.col("visited")).select("trigger_id", "id").distinct()
-        at = current.join(ids, "id").join(names, "trigger_id")
-        # what a rename does to a name is worked out once for each different (old, new, name), not for each visit
-        asked = at.filter(F.col("id") != F.col("own")).select("old_name", "new_name", "name").distinct()
-        answers = asked.withColumn("recommended", recommend(F.col("old_name"), F.col("new_name"), F.col("name")))
-        at = at.join(answers, ["old_name", "new_name", "name"], "left").withColumn("recommended", F.when(F.col("id") != F.col("own"), F.col("recommended")))
-        at = stored(at.select("trigger_id", "id", "file", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended"), "search-level", levels)
+        at = current.join(ids.select("id", "name"), "id").join(names, "trigger_id")
+        at = at.withColumn("recommended", F.when(F.col("id") != F.col("own"), recommend(F.col("old_name"), F.col("new_name"), F.col("name"))))
+        at = stored(at.select("trigger_id", "id", (F.col("id") == F.col("own")).alias("is_trigger"), "recommended"), "search-level", levels)
         hits = at.filter("recommended is not null").select("trigger_id", "id", F.col("recommended").alias("new_name"), F.lit(level).alias("rank"))
         found = hits if found is None else found.unionByName(hits)
-        step = at.join(out_edges, "id").join(ids.select(F.col("id").alias("to"), F.col("file").alias("to_file")), "to")
-        score = level + 1 + F.when(F.col("is_trigger") | F.col("recommended").isNotNull(), 0).otherwise(5) + F.when(F.col("file").eqNullSafe(F.col("to_file")), 0).otherwise(1)
+        step = at.join(steps, "id")
+        score = level + 1 + F.when(F.col("is_trigger") | F.col("recommended").isNotNull(), 0).otherwise(5) + F.col("away")
         step = step.select("trigger_id", F.col("to").alias("id"), score.alias("score")).filter(F.col("score") < most_score)
         met = pending.select("trigger_id", "id", "score", (F.col("visited") | (F.col("score") == level)).alias("visited")).unionByName(step.withColumn("visited", F.lit(False)))
         before = scratch[:]

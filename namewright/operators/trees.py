@@ -2,17 +2,21 @@
 
 Every tree (XML without namespaces) is walked once and gives facts about names; which renames of a unit
 are related is then a matter of equi-joins on file and name, so no pair of renames is formed without a
-fact, and no tree is searched once for each pair.
+fact, and no tree is searched once for each pair. Where only numbers are wanted, pairs are worked out once
+for each different set of renames that a file has in a unit.
 """
 
 from __future__ import annotations
 
+import functools
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewright.sources.shared import stored
+
 FACTS = "path string, fact string, a string, b string, pos int"
 _VARS, _CLS, _MET, _PAR = ("FieldName", "VariableName"), "ClassName", "MethodName", "ParameterName"
 #: Relation kinds: the fact that shows one, the kinds of its two names, and whether both must be of one file. The fact is always looked for in the first name's file.
@@ -21,6 +25,8 @@ BY_FACT = [
     ("Extends", "extends", _CLS, _CLS, False), ("Implements", "implements", _CLS, _CLS, False), ("TypeM", "returns", _MET, _CLS, False), *[("TypeV", "declared", v, _CLS, False) for v in _VARS], ("TypeV", "param_type", _PAR, _CLS, False),
     ("Invokes", "calls", _MET, _MET, False), ("Accesses", "reads", _MET, "FieldName", True), *[("Assigns", "assigns", v, w, w in (_PAR, "VariableName")) for v in _VARS for w in (*_VARS, _PAR, _MET)],
 ]
+#: All kinds of relations, by letters.
+KINDS = sorted({x[0] for x in BY_FACT} | {"CoOccursM", "Passes"})
 
 
 def _names(node: ET.Element) -> list[str]:
@@ -126,9 +132,25 @@ def facts(trees: DataFrame) -> DataFrame:
     return trees.select("path", "xml").mapInArrow(run, FACTS)
 
 
+def _by_fact(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(BY_FACT, "kind string, fact string, type_a string, type_b string, same boolean"))
+
+
+def _passing(units: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parameters with their method f and place pos, arguments with what they are given to) of renames, whose further columns stay."""
+    rest = [c for c in units.columns if c not in ("path", "name", "id_type")]
+    place = units.filter(F.col("id_type") == _PAR).join(found.filter("fact = 'param_at'").select("path", F.col("a").alias("f"), F.col("b").alias("name"), "pos"), ["path", "name"])
+    there = units.filter(F.col("id_type").isin(*_VARS, _MET)).join(_given(found), ["path", "name"])
+    return tuple(x.select(*rest, "path", "f", "pos") for x in (place, there))
+
+
+def _given(found: DataFrame) -> DataFrame:
+    return found.filter("fact = 'passes'").select("path", F.col("a").alias("f"), F.col("b").alias("name"), "pos")
+
+
 def related(units: DataFrame, found: DataFrame) -> DataFrame:
     """(unit, kind, a, b): related pairs of a unit's renames, a < b. units: (unit, id, id_type, name, path), name being the old one; found: facts()."""
-    table = F.broadcast(units.sparkSession.createDataFrame(BY_FACT, "kind string, fact string, type_a string, type_b string, same boolean"))
+    table = _by_fact(units.sparkSession)
     one = units.select("unit", "path", F.col("id").alias("id_a"), F.col("id_type").alias("type_a"), F.col("name").alias("a"))
     two = units.select("unit", F.col("path").alias("path_b"), F.col("id").alias("id_b"), F.col("id_type").alias("type_b"), F.col("name").alias("b"))
     met = one.join(found.select("path", "fact", "a", "b"), ["path", "a"]).join(table, ["fact", "type_a"]).join(two, ["unit", "b", "type_b"])
@@ -141,11 +163,61 @@ def related(units: DataFrame, found: DataFrame) -> DataFrame:
     met = met.unionByName(beside.select("unit", F.lit("CoOccursM").alias("kind"), "id_a", "id_b"))
 
     # a parameter and what calls of its method pass at its place: variables in their own file, methods in either's
-    place = units.filter(F.col("id_type") == _PAR).join(found.filter("fact = 'param_at'").select("path", F.col("a").alias("f"), F.col("b").alias("name"), "pos"), ["path", "name"]).select("unit", "path", F.col("id").alias("id_a"), "f", "pos")
-    given = found.filter("fact = 'passes'").select("path", F.col("a").alias("f"), F.col("b").alias("name"), "pos")
-    args = units.filter(F.col("id_type").isin(*_VARS, _MET)).select("unit", "path", "name", F.col("id").alias("id_b"), "id_type")
-    there = args.join(given, ["path", "name"]).select("unit", "f", "pos", "id_b")
-    here = place.join(given, ["path", "f", "pos"]).select("unit", "id_a", "name").join(args.filter(F.col("id_type") == _MET).select("unit", "name", "id_b"), ["unit", "name"])
-    for pairs in (place.join(there, ["unit", "f", "pos"]), here):
+    place, there = (x.withColumnRenamed("id", i) for x, i in zip(_passing(units.select("unit", "path", "id", "id_type", "name"), found), ("id_a", "id_b"), strict=True))
+    methods = units.filter(F.col("id_type") == _MET).select("unit", "name", F.col("id").alias("id_b"))
+    here = place.join(_given(found), ["path", "f", "pos"]).select("unit", "id_a", "name").join(methods, ["unit", "name"])
+    for pairs in (place.drop("path").join(there.drop("path"), ["unit", "f", "pos"]), here):
         met = met.unionByName(pairs.select("unit", F.lit("Passes").alias("kind"), "id_a", "id_b"))
     return met.filter("id_a <> id_b").select("unit", "kind", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _across(renames: DataFrame, found: DataFrame) -> DataFrame:
+    """(id) of renames (path, id, id_type, name) that may be related to one of another file: what one asks for, another file's has."""
+    r, no = renames.withColumn("file", _file()), F.lit(-1).alias("pos")
+    end = lambda d, asks, to, name, pos=no: d.select("id", "file", F.lit(asks).alias("asks"), to.alias("to"), F.col(name).alias("name"), pos)
+    named = r.withColumnsRenamed({"name": "a", "id_type": "type_a"}).join(found.select("path", "fact", "a", "b"), ["path", "a"]).join(_by_fact(renames.sparkSession).filter("not same"), ["fact", "type_a"])
+    place, there = _passing(r, found)
+    ends = [
+        end(named, True, F.col("type_b"), "b"), end(r, False, F.col("id_type"), "name"),
+        end(place, True, F.lit(""), "f", F.col("pos")), end(there, False, F.lit(""), "f", F.col("pos")), end(place.join(_given(found), ["path", "f", "pos"]), True, F.lit(_MET), "name"),
+    ]
+    every = functools.reduce(DataFrame.union, ends)
+    key = ["to", "name", "pos"]
+    met = every.groupBy(*key).agg(F.bool_or("asks").alias("some"), F.bool_and("asks").alias("all"), (F.min("file") != F.max("file")).alias("far")).filter("far and some and not all")
+    return every.join(met, key, "left_semi").select("id")
+
+
+def _file():
+    """The path, no path being told apart from every other."""
+    return F.coalesce(F.concat(F.lit("/"), F.col("path")), F.lit(""))
+
+
+def related_counts(held: DataFrame, cases: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, n, units): related pairs and units that have any, as related() finds them, without a list of all pairs.
+
+    cases: (case, id, id_type, name, path), the different sets of renames that files have in units; held: (unit, case), each once and a
+    file's at most once a unit. Pairs of one case are worked out once for all its units. Renames that may be related across files, and pairs
+    with an id of several files (which several cases of a unit may show), are met unit by unit.
+    """
+    spark, held = held.sparkSession, held.filter("unit is not null")
+    renames = cases.select("path", "id", "id_type", "name").distinct()
+    loose = renames.groupBy("id").agg((F.min(_file()) != F.max(_file())).alias("loose")).filter("loose")
+    inside = related(cases.withColumnRenamed("case", "unit"), found).withColumnRenamed("unit", "case")
+    for end in ("a", "b"):
+        inside = inside.join(loose.withColumnsRenamed({"id": end, "loose": f"loose_{end}"}), end, "left")
+    inside = stored(inside.select("case", "kind", "a", "b", (F.col("loose_a").isNull() & F.col("loose_b").isNull()).alias("firm")), "inside")
+    ids = _across(renames, found).union(inside.filter("not firm").select(F.explode(F.array("a", "b")))).distinct()
+    far = stored(cases.join(ids, "id", "left_semi"), "far")
+    firm = inside.filter("firm")
+
+    kinds = F.broadcast(spark.createDataFrame([(k, 1 << i) for i, k in enumerate(KINDS)], "kind string, bit long"))
+    counts = held.groupBy("case").agg(F.count("*").alias("w")).join(firm.groupBy("case", "kind").agg(F.count("*").alias("c")), "case").select("kind", (F.col("w") * F.col("c")).alias("n"))
+    bits = held.join(firm.join(kinds, "kind").groupBy("case").agg(F.bit_or("bit").alias("bits")), "case").select("unit", "bits")
+    if not far.isEmpty():
+        wide = stored(held.join(far, "case").drop("case"), "wide")
+        more = stored(related(wide, found).join(firm.select("kind", "a", "b").distinct(), ["kind", "a", "b"], "left_anti").select("unit", "kind"), "more")
+        counts = counts.union(more.groupBy("kind").count())
+        bits = bits.union(more.join(kinds, "kind").select("unit", "bit"))
+    sets = bits.groupBy("unit").agg(F.bit_or("bits").alias("bits")).groupBy("bits").agg(F.count("*").alias("m"))
+    units = sets.join(kinds, F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("kind").agg(F.sum("m").alias("units"))
+    return counts.groupBy("kind").agg(F.sum("n").alias("n")).join(units, "kind")

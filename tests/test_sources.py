@@ -125,3 +125,10 @@ def test_expanded_table_lists_first(spark):
     lists = spark.createDataFrame([(1, ["a", "b"])], "id long, x array<string>").select("id", *[F.col("x").alias(c) for c in writers.LISTS])
     got = {r.id: (r.siblings, r.split, r.normalized) for r in writers.expanded_table(i, lists, together=["file", "line"]).collect()}
     assert got == {"1": ("2:c - ", "a;b", "a;b"), "2": ("1:aB - ", "", "")}
+
+
+def test_xml_lines(spark, tmp_path):
+    unit = '<unit xmlns="http://www.srcML.org/srcML/src" xmlns:cpp="http://x" filename="src/{0}.java"><class>class <name>{0}</name></class></unit>'
+    (tmp_path / "all.xml").write_text("\n".join(map(unit.format, "AB")) + "\n<unit><class filename='no'/></unit>\n")
+    got = readers.xml_texts(spark, str(tmp_path / "all.xml"), lines=True).selectExpr("path", "xpath_string(xml, 'unit/class/name')").collect()
+    assert sorted(map(tuple, got)) == [("", ""), ("src/A.java", "A"), ("src/B.java", "B")]

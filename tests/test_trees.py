@@ -1,6 +1,9 @@
 """Relations found in syntax trees: facts of small trees, and pairs of units."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from namewright.operators import trees
 
@@ -46,3 +49,43 @@ def test_related(spark, units):
         ("CoOccursM", "help", "run"), ("Extends", "Base", "Outer"), ("TypeM", "Type", "run"), ("TypeV", "Type", "field"), ("TypeV", "Type", "p"), ("Invokes", "help", "run"), ("Accesses", "field", "run"), ("Assigns", "local", "q"), ("Assigns", "field", "help"), ("Assigns", "field", "local"), ("Passes", "local", "only"),
     }
     assert got == {("u", k, *sorted((a, b))) for k, a, b in want}
+
+
+@pytest.mark.parametrize("shared_ids", [False, True])
+def test_related_counts(spark, shared_ids):
+    """Numbers of pairs and units are those of the list of pairs, with relations across files, ids of several files, and cases that several units hold or none."""
+    two = ONE.replace("Outer", "Base").replace("<name>run</name>", "<name>go</name>").replace("<name>far</name>", "<name>run</name>")
+    found = trees.facts(spark.createDataFrame([("One.xml", ONE), ("Two.xml", two), ("Three.xml", ONE)], "path string, xml string"))
+    kinds = {"Outer": "ClassName", "Base": "ClassName", "Type": "ClassName", "run": "MethodName", "go": "MethodName", "help": "MethodName", "inner": "MethodName", "field": "FieldName", "local": "VariableName", "q": "ParameterName", "only": "ParameterName"}
+    deal, cases, held = random.Random(7), [], []
+    for path in ("One.xml", "Two.xml", "Three.xml", None):
+        for n in range(6):
+            cases += [(f"{path} {n}", x if shared_ids else f"{path}/{x}", kinds[x], x, path) for x in deal.sample(sorted(kinds), 6)]
+        held += [(u if u else None, f"{path} {deal.randrange(5)}") for u in range(20) if u % 3 or path == "One.xml"]
+    cases, held = spark.createDataFrame(cases, "case string, id string, id_type string, name string, path string"), spark.createDataFrame(held, "unit long, case string")
+    want = trees.related(held.join(cases, "case").drop("case"), found)
+    counted = {(r.kind, r.n, r.units) for r in want.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("unit").alias("units")).collect()}
+    assert {(r.kind, r.n, r.units) for r in trees.related_counts(held, cases, found).select("kind", "n", "units").collect()} == counted and len(counted) > 8
+
+
+def test_related_counts_within_files(spark):
+    """No relation goes across files, and none is lost or found twice."""
+    found = trees.facts(spark.createDataFrame([("One.xml", ONE)], "path string, xml string"))
+    names = {"Outer": "ClassName", "run": "MethodName", "help": "MethodName"}
+    cases = spark.createDataFrame([(k, n, t, n, "One.xml") for k, some in ((1, ["Outer", "run"]), (2, ["Outer", "run", "help"]), (3, ["help"])) for n, t in names.items() if n in some], "case int, id string, id_type string, name string, path string")
+    held = spark.createDataFrame([("u", 1), ("v", 1), ("w", 2), ("x", 3)], "unit string, case int")
+    assert {tuple(r) for r in trees.related_counts(held, cases, found).collect()} == {("BelongsM", 4, 3), ("CoOccursM", 1, 1), ("Invokes", 1, 1)}
+
+
+def test_query_moves_no_pairs(spark, sf):
+    """What tree_relations shuffles goes by line items and not by their renames, pairs and names: some 600 bytes a line when it did."""
+    from namewright.plans.catalog import QUERIES
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        some = spark._jsc.sc().statusStore().executorList(True)
+        return sum(some.apply(i).totalShuffleWrite() for i in range(some.size()))
+
+    before = written()
+    assert QUERIES["tree_relations"](spark, sf).count() == 14
+    assert written() - before < 150 * spark.read.parquet(f"{sf}/lineitem.parquet").count()

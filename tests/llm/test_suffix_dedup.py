@@ -9,9 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import __spark_entry__ as entry
 from namewright.llm import anchors, suffix_dedup
 from namewright.llm.suffix_array import CoverRanks, difference_cover, repeated_windows, suffix_array
-from tests.llm.conftest import SCHEMA
+from tests.llm.conftest import SCHEMA, sentence
 
 
 def brute(rows, n):
@@ -64,6 +65,31 @@ def test_empty_and_text(spark, none):
     assert out == {1: "a1", 2: "b2"}  # the cut takes the equal first byte of é and è
 
 
+def query(spark, d):
+    out = entry.queries()["op9_suffix_dedup"](spark, str(d))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    return sorted((tuple(r) for r in out.collect()), key=repr)
+
+
+def test_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert query(spark, sf) == brute(rows, 400)
+
+
+@pytest.mark.parametrize("n", [300, 399, 400])
+def test_passages_of_over_fifty_words(spark, tmp_path, n):
+    """The contract goes by bytes: a shared passage of over 50 words goes from 400 bytes on and stays below; n_bytes is the input's length either way."""
+    rng = random.Random(n)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n // 5 + 1))[: n - 1] + "."
+    assert len(passage) == n and len(passage.split()) > 50
+    # the letters beside a passage differ, so nothing longer is shared
+    rows = [(i, f"{sentence(rng, 30)} {i}{passage}{i} {sentence(rng, 30)}", "en", "s", 1) for i in range(4)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = query(spark, tmp_path)
+    assert got == brute([r[:2] for r in rows], 400)
+    assert [r[1:4] for r in got] == [(len(t.encode()), n if n >= 400 else 0, int(n >= 400)) for _, t, *_ in rows]
+
+
 def test_covers():
     for v in (8, 16, 32, 64, 128):
         d, shift = difference_cover(v)
